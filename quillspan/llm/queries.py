@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, pieces, token_binary
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_token_binary": token_binary.op2_token_binary,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
