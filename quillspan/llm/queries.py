@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, token_binary
+from . import licenses, mixing, pieces, quality, secrets, token_binary, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_token_binary": token_binary.op2_token_binary,
+    "op3_warc": warc.op3_warc,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_quality_rules": quality.op8_quality_rules,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op3_warc": warc.OP3_SQL,
 }
