@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, neardup, pieces, quality, secrets, token_binary, warc
+from . import ann, licenses, mixing, neardup, pieces, quality, secrets, token_binary, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_license_scan": licenses.op7_license_scan,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_minhash_dedup": neardup.op9_minhash_dedup,
+    "op10_rabit_search": ann.op10_rabit_search,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
     "op9_minhash_dedup": neardup.OP9_SQL,
+    "op10_rabit_search": ann.OP10_SQL,
 }
