@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, mixing, neardup, pieces, quality, secrets, token_binary, warc
+from . import ann, extract, licenses, mixing, neardup, pieces, quality, secrets, token_binary, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_token_binary": token_binary.op2_token_binary,
     "op3_warc": warc.op3_warc,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_html_extract": extract.op5_html_extract,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_quality_rules": quality.op8_quality_rules,
