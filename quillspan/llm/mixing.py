@@ -94,8 +94,9 @@ def repeated(mixed: DataFrame, out: str = "mix") -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix_sources(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "source", "mix.copies")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    measured = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), symbol_quality(F.col("text")).alias("quality"))
+    return mix_sources(measured, size=F.col("words"), quality=F.col("quality")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "source", "mix.copies")
 
 
 #: The same without buckets: whole sources ordered by key.
