@@ -9,12 +9,13 @@
 3. Representatives in a band's bucket form a star around the smallest one, not all pairs.
    Star pairs whose sizes allow it are verified exactly on full sets.
 4. Components of the verified links.  Buckets that still hold members of different components
-   are the rest: their members are dealt into blocks, each two blocks meet in a task of bounded
-   size, and only pairs of different components whose signatures come near the threshold leave it
-   for exact verification.  So no link that a bucket has seen is lost, whatever its size.
+   are the rest.  Their members, with those they share such buckets with, are families; a family
+   is dealt into blocks of bounded size, each two blocks meet in a task, and members of different
+   components whose signatures come near the threshold are verified exactly there.  A task gives
+   links alone, so no link that a bucket has seen is lost and no pairs are written out.
 5. Components again, over all links; a class passes its component on to its copies.
 
-A pair at the threshold of 0.8 shares none of 32 bands of 4 rows with probability 5e-8.
+A pair at the threshold of 0.8 shares none of 24 bands of 4 rows with probability 3e-6; at 0.85, 2e-8.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ from .components import connected_components
 
 RING = 1 << 21
 SEED = 20_240_001
-#: Members of a block, in the comparison of what stars have left over.
-BLOCK = 256
+#: Members and shingles of a block, on average, in the comparison of what stars have left over.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Standard errors below the threshold at which a signature's estimate still counts as near.
-SLACK = 6.0
+SLACK = 4.5
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -59,7 +60,7 @@ class _Words(dict):
     """64-bit hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -94,17 +95,15 @@ def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[new], np.bincount(owner[new], minlength=len(texts)).astype(np.int64)
 
 
-def signatures(flat: np.ndarray, counts: np.ndarray, coordinates: int, step: int = 1 << 15) -> np.ndarray:
+def signatures(flat: np.ndarray, counts: np.ndarray, coordinates: int, step: int = 512) -> np.ndarray:
     """Coordinates of each set, a row a set; sets without shingles get the largest numbers."""
     table = _ring(coordinates)
     out = np.full((len(counts), coordinates), np.iinfo(np.uint32).max, np.uint32)
-    owner = np.repeat(np.arange(len(counts)), counts)
     at = (_mixed(flat + np.uint64(SEED)) % np.uint64(RING)).astype(np.int64)
-    for i in range(0, len(flat), step):
-        own = owner[i : i + step]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        least = np.minimum.reduceat(table[at[i : i + step]], first, axis=0)
-        out[own[first]] = np.minimum(out[own[first]], least)
+    ends = np.cumsum(counts)
+    for row, n, end in zip(out, counts.tolist(), ends.tolist()):
+        for i in range(end - n, end, step):  # slices that stay in the cache
+            np.minimum(row, table[at[i : min(end, i + step)]].min(axis=0), out=row)
     return out
 
 
@@ -134,23 +133,23 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, SKETCH)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, fa, b, fb), those whose full sets are similar enough, as edges u, v.
-
-    Only texts of documents in pairs are read; a set is found by document and fingerprint.
-    """
-    wanted = pairs.select(F.col("a").alias("doc_id"), F.col("fa").alias("fp")).union(pairs.select("b", "fb")).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id, fp, shingles of the wanted classes (id, fp), made anew from the texts of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in row_groups(batches, "text"):
+        for part, texts in row_groups(batches, "text", 1_000_000):
             flat, counts = shingle_sets(texts, size)
             ends = np.cumsum(counts)
             sets = [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
             same = [hashlib.blake2b(s, digest_size=16).digest() == f for s, f in zip(sets, part.column("fp").to_pylist())]
             yield pa.record_batch([part.column("doc_id"), part.column("fp"), pa.array(sets, pa.binary())], names=["id", "fp", "shingles"]).filter(pa.array(same))
 
-    sets = docs.join(wanted, "doc_id").select("doc_id", "fp", "text").mapInArrow(run, "id long, fp binary, shingles binary")
-    sets = stored(sets.dropDuplicates(["id", "fp"]), "sets")
+    found = docs.join(wanted.select(F.col("id").alias("doc_id"), "fp"), "doc_id").select("doc_id", "fp", "text")
+    return found.mapInArrow(run, "id long, fp binary, shingles binary").dropDuplicates(["id", "fp"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, fa, b, fb), those whose full sets are similar enough, as edges u, v."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("shingles").alias("y")), ["b", "fb"])
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("shingles").alias("x")), ["a", "fa"])
-    links = stored(both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long"), "links")
-    dropped(sets)
-    return links
+    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long")
 
 
 def _may(n: Column, m: Column, num: int, den: int) -> Column:
@@ -177,37 +174,45 @@ def _may(n: Column, m: Column, num: int, den: int) -> Column:
     return F.least(n, m) * den >= F.greatest(n, m) * num
 
 
-def _left_over(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, fa, b, fb) of different components in one bucket whose signatures come near.
+def _left_over(members: DataFrame, num: int, den: int, coordinates: int) -> DataFrame:
+    """Links u, v between different components of a family.
 
-    ``members``: bucket, id, fp, n, signature, component, blocks (how many the bucket is dealt into).
+    ``members``: family, id, fp, n, signature, shingles, component, blocks (how many the family is dealt into).
     """
-    near = num / den - SLACK * (num / den * (1 - num / den) / 128) ** 0.5
+    near = num / den - SLACK * (num / den * (1 - num / den) / coordinates) ** 0.5
     own = F.pmod(F.xxhash64("id", "fp"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "fp", "n", "signature", "component")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "signature", "shingles", "component")
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own, ids, sizes, comps = (table.column(c).to_numpy() for c in ("own", "id", "n", "component"))
         sig = np.stack([np.frombuffer(s.as_buffer(), np.uint32) for c in table.column("signature").chunks for s in c])
-        fps = table.column("fp").to_pylist()
-        rows, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for r in rows.tolist():
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for c in table.column("shingles").chunks for s in c]
+        names, comp = np.unique(comps, return_inverse=True)  # merged as links are found
+        u, v = [], []
+        others = np.flatnonzero(own == j)
+        for r in np.flatnonzero(own == i).tolist():
             may = others[others > r] if i == j else others
-            may = may[comps[may] != comps[r]]
+            may = may[comp[may] != comp[r]]
             may = may[np.minimum(sizes[may], sizes[r]) * den >= np.maximum(sizes[may], sizes[r]) * num]
-            if len(may):
-                may = may[(sig[may] == sig[r]).mean(axis=1) >= near]
-                out += [(r, o) for o in may.tolist()]
-        a, b = [x for x, _ in out], [y for _, y in out]
-        return pa.table([pa.array(ids[a] if a else [], pa.int64()), pa.array([fps[x] for x in a], pa.binary()), pa.array(ids[b] if b else [], pa.int64()), pa.array([fps[x] for x in b], pa.binary())], names=["a", "fa", "b", "fb"])
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, fa binary, b long, fb binary").distinct()
-
-
-def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            may = may[(sig[may] == sig[r]).mean(axis=1) >= near] if len(may) else may
+            if not len(may):
+                continue
+            several = np.concatenate([sets[k] for k in may])
+            at = np.minimum(np.searchsorted(sets[r], several), len(sets[r]) - 1)
+            shared = np.add.reduceat((sets[r][at] == several).astype(np.int64), np.cumsum(sizes[may]) - sizes[may])
+            for k in may[den * shared >= num * (sizes[may] + sizes[r] - shared)].tolist():
+                if comp[k] != comp[r]:
+                    comp[comp == comp[k]] = comp[r]
+                    u.append(ids[r])
+                    v.append(ids[k])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, bands: int = 24, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept, for every row of ``docs``.
 
     Links: ``den * intersection >= num * union`` of the sets of ``size``-word shingles.  Null, empty
@@ -219,20 +224,26 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
     table = stored(sketches(texts, size, bands, rows), "sketches")
     real = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(real.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
-    placed = classes.select("id", "fp", "n", F.explode("bands").alias("bucket"))
-    centres = placed.groupBy("bucket").agg(F.min(F.struct("id", "fp", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("bucket", "c", "k")
-    stars = placed.join(centres, "bucket").where((F.col("c.id") != F.col("id")) & _may(F.col("n"), F.col("c.n"), num, den))
-    stars = stored(stars.select(F.col("c.id").alias("a"), F.col("c.fp").alias("fa"), F.col("id").alias("b"), F.col("fp").alias("fb")).distinct(), "stars")
-    links = _verified(stars, texts.where(F.col("doc_id").isNotNull()), size, num, den)
+    small = classes.select("id", "fp", "n")
+    placed = classes.select("id", F.explode("bands").alias("bucket"))
+    centres = placed.groupBy("bucket").agg(F.min("id").alias("c"), F.count("*").alias("k")).where("k > 1")
+    held = stored(placed.join(centres, "bucket"), "buckets")  # members of buckets with company
+    sets = stored(_sets(small.join(held.select("id").distinct(), "id"), texts.where(F.col("doc_id").isNotNull()), size), "sets")
+    stars = held.where("id != c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(small.toDF("b", "fb", "nb"), "b").join(small.toDF("a", "fa", "na"), "a").where(_may(F.col("na"), F.col("nb"), num, den))
+    links = stored(_verified(stars, sets, num, den), "links")
     found = stored(connected_components(links), "components")
     # what stars have left: buckets of three or more whose members are in different components
-    named = placed.join(centres.where("k > 2").select("bucket"), "bucket").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low != high")
-    mixed = mixed.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    rest = named.join(mixed, "bucket").join(classes.select("id", "fp", "signature"), ["id", "fp"])
-    more = stored(_left_over(rest, num, den), "rest")
-    if not more.isEmpty():
-        extra = _verified(more, texts.where(F.col("doc_id").isNotNull()), size, num, den)
+    named = held.where("k > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    rest = stored(named.join(mixed, "bucket").select("id", "c", "component").distinct(), "rest")
+    if not rest.isEmpty():
+        families = connected_components(rest.select(F.col("c").alias("u"), F.col("id").alias("v"))).toDF("id", "family")
+        members = rest.select("id", "component").distinct().join(families, "id").join(classes.select("id", "fp", "n", "signature"), "id")
+        sizes = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+        sizes = sizes.select("family", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        members = members.join(sizes, "family").join(sets, ["id", "fp"])
+        extra = _left_over(members, num, den, bands * rows)
         found = stored(connected_components(links.unionByName(extra)), "components")
     # a class passes its component on; the join's hot side is split by AQE
     named = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
