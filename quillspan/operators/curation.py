@@ -58,7 +58,7 @@ def compress_tool_output(name: Column, output: Column, tokens: Column, threshold
 def check_budget(used: Column, most: int, warn: float = 0.8) -> Column:
     """Struct status, used, max, message."""
     over = F.format_string("System prompt uses %d tokens, exceeding budget of %d by %d", used, F.lit(most), used - most)
-    near = F.format_string("System prompt uses %d tokens (%.0f%% of %d budget)", used, used * 100.0 / most, F.lit(most))
+    near = F.format_string("System prompt uses %d tokens (%.0f%% of %d budget)", used, F.bround(used * 100.0 / most, 0), F.lit(most))
     status = F.when(used > most, "Exceeded").when(used > int(most * warn), "Warning").otherwise("Ok")
     return F.struct(status.alias("status"), used.alias("used"), F.lit(most).cast("long").alias("max"), F.when(used > most, over).when(used > int(most * warn), near).alias("message"))
 

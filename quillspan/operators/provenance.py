@@ -38,7 +38,7 @@ def topic_overlaps(terms: DataFrame, sources: DataFrame, least: float = TOPIC_OV
 
 
 def overlap_warning(path_a: Column, path_b: Column, shared: Column, overlap: Column) -> Column:
-    return F.format_string("- '%s' and '%s' share terms [%s] (%.0f%% overlap)", path_a, path_b, F.array_join(shared, ", "), overlap * 100)
+    return F.format_string("- '%s' and '%s' share terms [%s] (%.0f%% overlap)", path_a, path_b, F.array_join(shared, ", "), F.bround(overlap * 100, 0))
 
 
 def record(ledger: DataFrame, fragments: DataFrame) -> DataFrame:
