@@ -65,16 +65,15 @@ def _member(page_id, row, url, payload, digest, refers_to, level: int) -> bytes:
     return out.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + out.flush()
 
 
-def with_referents(pages: DataFrame, *, key: str, payload: str, min_bytes: int = 0) -> DataFrame:
-    """key, url, payload (bytes), digest, first (smallest key of an equal payload, else null).
+def referents(pages: DataFrame, *, key: str, payload: str, min_bytes: int = 0) -> DataFrame:
+    """key, digest, first: rows whose payload has a record with a smaller key, and that key.
 
-    Keys are few bytes, payloads stay out of this shuffle; a payload that a third of the pages
-    share is one row after partial aggregation, and its pages are an AQE-splittable join side.
+    Payloads stay out of this: keys and digests alone are shuffled.  A payload that a third of the
+    pages share is one row after partial aggregation, and its pages are an AQE-splittable join side.
     """
-    rows = pages.withColumn("digest", sha1_base32(F.col(payload)))
-    large = rows.where(F.length(payload) >= min_bytes)
-    firsts = large.groupBy("digest").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return rows.join(firsts, "digest", "left").withColumn("first", F.when(F.length(payload) >= min_bytes, F.col("first")))
+    rows = pages.where(F.length(payload) >= min_bytes).select(key, sha1_base32(F.col(payload)).alias("digest"))
+    firsts = rows.groupBy("digest").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    return rows.join(firsts, "digest").where(F.col(key).isNull() | (F.col(key) != F.col("first"))).select(key, "digest", "first").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, level: int = 6, parts: int | None = None) -> DataFrame:
@@ -87,9 +86,11 @@ def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", url: str =
     spark = pages.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    rows = with_referents(rows, key="key", payload="payload", min_bytes=min_bytes)
-    rows = rows.withColumn("refers_to", F.when(F.col("key").isNull() | (F.col("key") != F.col("first")), F.col("first"))).drop("first")
-    rows = rows.repartitionByRange(parts, "key", "digest").sortWithinPartitions("key", "digest", "url")
+    # what a row refers to travels as a row of its own that sorts before it: payloads are shuffled once
+    found = referents(rows, key="key", payload="payload", min_bytes=min_bytes)
+    marks = found.select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.col("first").alias("refers_to"), F.lit(0).alias("is_page"))
+    records_ = rows.select("key", "url", "payload", sha1_base32(F.col("payload")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("is_page"))
+    rows = marks.unionByName(records_).repartitionByRange(parts, "key", "digest").sortWithinPartitions("key", "digest", "is_page", "url")
     fs, folder = pa.fs.FileSystem.from_uri(path)
     fs.create_dir(folder, recursive=True)
 
@@ -98,7 +99,7 @@ def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", url: str =
 
         part, mark = TaskContext.get().partitionId(), uuid.uuid4().hex[:8]
         fs, folder = pa.fs.FileSystem.from_uri(path)
-        sink, file, count, size, row = None, 0, 0, 0, part << 32
+        sink, file, count, size, row, mark_of = None, 0, 0, 0, part << 32, (None, None, None)
 
         def commit():
             sink.close()
@@ -106,12 +107,16 @@ def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", url: str =
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([f"{path}/{name}"]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["part", "file", "path", "n_records", "bytes"])
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("key", "url", "payload", "digest", "refers_to")]
+            columns = [batch.column(c) for c in ("key", "url", "payload", "digest", "refers_to", "is_page")]
             for i in range(batch.num_rows):
+                k, u, p, d, r, page = (c[i].as_py() for c in columns)
+                if not page:
+                    mark_of = (k, d, r)
+                    continue
+                r = mark_of[2] if mark_of[:2] == (k, d) else None
                 if sink is None:
                     name, count, size = f"part-{part:06d}-{file:04d}.warc.gz", 0, 0
                     sink = fs.open_output_stream(f"{folder}/{name}.{mark}.tmp", compression=None)
-                k, u, p, d, r = (c[i].as_py() for c in columns)
                 data = _member(k, row, u, p, d, r, level)
                 sink.write(data)
                 count, size, row = count + 1, size + len(data), row + 1
