@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, words
+from .text import SPACE, item, words
 
 IM_START, IM_END = "<|im_start|>", "<|im_end|>"
 #: Fixed patterns of the protocol.
@@ -125,12 +125,12 @@ def detect_loop(text: Column) -> Column:
 
     # a word over 70 % fills the middle of the sorted words
     ordered = F.array_sort(w)
-    middle = F.element_at(ordered, (n / 2).cast("int") + 1)
+    middle = item(ordered, (n / 2).cast("int") + 1)
     share = F.floor(F.size(F.filter(w, lambda x: x == middle)) * 100 / n)
     trigrams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
     distinct = F.size(F.array_distinct(trigrams))
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), trimmed), lambda x: F.octet_length(x) > 30)
-    repeated = F.element_at(F.array_sort(F.filter(runs(lines), lambda s: s["k"] <= -3)), 1)
+    repeated = item(F.array_sort(F.filter(runs(lines), lambda s: s["k"] <= -3)), 1)
     return (
         F.when(F.contains(text, F.lit(IM_END)), F.lit(f"chat_template_token: {IM_END}"))
         .when(F.contains(text, F.lit(IM_START)), F.lit(f"chat_template_token: {IM_START}"))
@@ -176,7 +176,7 @@ def last_user_text(messages: Column) -> Column:
     Content is a string, or an array of blocks of which the text ones are joined by line ends.
     """
     parsed = F.from_json(messages, "array<struct<role:string,content:string>>")
-    last = F.element_at(F.filter(parsed, lambda m: m["role"] == "user"), -1)["content"]
+    last = item(F.filter(parsed, lambda m: m["role"] == "user"), -1)["content"]
     parts = F.from_json(last, "array<struct<type:string,text:string>>")
     joined = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "\n")
     return F.when(F.startswith(last, F.lit("[")) & parts.isNotNull(), joined).otherwise(last)
@@ -187,4 +187,5 @@ def verdict_score(text: Column) -> Column:
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     strict = F.get_json_object(body, "$.score").cast("double")
     loose = F.nullif(F.regexp_extract(text, r'"?score"?\s*[:=]\s*(-?[0-9]*\.?[0-9]+)', 1), F.lit("")).cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(strict, loose)))
+    score = F.coalesce(strict, loose)
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))

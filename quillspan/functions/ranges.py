@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import token_range
+from .text import item, token_range
 
 HEADING = r"^[ \t]*(#+)"
 
@@ -65,7 +65,7 @@ def apply_range(text: Column, parsed: Column) -> Column:
     return (
         F.when(parsed["kind"] == "lines", F.when(first > F.size(lines), "").otherwise(cut))
         .when(parsed["kind"] == "tokens", token_range(text, parsed["first"].cast("int"), parsed["last"].cast("int")))
-        .when(parsed["kind"] == "heading", F.when(F.size(parsed["path"]) > 0, heading_section(text, F.element_at(parsed["path"], -1))).otherwise(text))
+        .when(parsed["kind"] == "heading", F.when(F.size(parsed["path"]) > 0, heading_section(text, item(parsed["path"], -1))).otherwise(text))
         .otherwise(text)
     )
 

@@ -23,6 +23,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def item(array: Column, at: int | Column) -> Column:
+    """Element ``at`` (1 first, -1 last); null where there is none."""
+    return F.try_element_at(array, at if isinstance(at, Column) else F.lit(at))
+
+
 def token_count(text: Column) -> Column:
     """White-space tokens, 1 at least."""
     return F.greatest(F.size(words(text)), F.lit(1)).cast("long")

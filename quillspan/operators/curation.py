@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import History
 from ..functions.ranges import text_lines
-from ..functions.text import SPACE, token_count
+from ..functions.text import item, token_count
 from ..functions.protocol import trimmed
 
 #: Words that make a sentence worth keeping.  Fixed values.
@@ -32,9 +32,9 @@ def extract_lines(role: Column, content: Column, tool: Column | None = None) ->
     name = F.coalesce(tool, F.lit("unknown")) if tool is not None else F.lit("unknown")
     who = F.when(role == "user", "[User]").when(role == "assistant", "[Assistant]").when(role == "system", "[System]").otherwise(F.concat(F.lit("[Tool: "), name, F.lit("]")))
     signal = "(" + "|".join(SIGNALS) + ")"
-    first = F.array(F.concat(who, F.lit(" "), F.element_at(sentences, 1)))
-    middle = F.transform(F.filter(F.slice(sentences, 2, 2**31 - 1), lambda s: F.lower(s).rlike(signal)), lambda s: F.concat(F.lit("  - "), s))
-    last = F.when(F.size(sentences) > 1, F.array(F.concat(F.lit("  ... "), F.element_at(sentences, -1)))).otherwise(F.array().cast("array<string>"))
+    first = F.array(F.concat(who, F.lit(" "), item(sentences, 1)))
+    middle = F.transform(F.filter(F.slice(sentences, F.lit(2), F.size(sentences)), lambda s: F.lower(s).rlike(signal)), lambda s: F.concat(F.lit("  - "), s))
+    last = F.when(F.size(sentences) > 1, F.array(F.concat(F.lit("  ... "), item(sentences, -1)))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(sentences) > 0, F.concat(first, middle, last)).otherwise(F.array().cast("array<string>"))
 
 

@@ -181,7 +181,7 @@ def model_ranking(models: DataFrame) -> DataFrame:
 
 def f_beta(precision: Column, recall: Column, beta: float = 0.5) -> Column:
     b = beta * beta
-    return ratio((1 + b) * precision * recall, b * precision + recall)
+    return F.when(precision.isNotNull() & recall.isNotNull(), ratio((1 + b) * precision * recall, b * precision + recall))
 
 
 def model_selection(runs: DataFrame, least_runs: int = 1) -> DataFrame:

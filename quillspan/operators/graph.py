@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EXPAND_CAP, EXPAND_DISCOUNT
+from ..functions.text import item
 
 
 def line_offsets(text: Column) -> Column:
     """Byte offsets at which lines begin: 0, then after each line end."""
     sizes = F.transform(F.split(text, "\n"), lambda x: F.octet_length(x).cast("long") + 1)
-    return F.slice(F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n))), F.lit(1), F.size(sizes))
+    return F.slice(F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda s, n: F.concat(s, F.array(item(s, -1) + n))), F.lit(1), F.size(sizes))
 
 
 def line_offset(text: Column, line: Column) -> Column:
     """Offset of a line (1 first), clamped to the last; line 0 is 0."""
     starts = line_offsets(text)
-    return F.when(line <= 0, F.lit(0).cast("long")).otherwise(F.element_at(starts, F.least(line.cast("int"), F.size(starts))))
+    return F.when(line <= 0, F.lit(0).cast("long")).otherwise(item(starts, F.least(line.cast("int"), F.size(starts))))
 
 
 def covering_chunk(places: DataFrame, chunks: DataFrame, key: str = "path") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Chunking
 from ..functions.ranges import text_lines
-from ..functions.text import SPACE, cheap_tokens, clipped
+from ..functions.text import SPACE, cheap_tokens, clipped, item
 from ..functions.protocol import trimmed
 
 #: Line starts that the naive outline keeps.  Fixed values.
@@ -56,9 +56,10 @@ def parsed_outline(content: str, ext: str) -> list[str] | None:
         found = []
         for node in tree.body:
             members = node.body if isinstance(node, ast.ClassDef) else []
-            for item in (node, *members):
-                if isinstance(item, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                    head = ast.unparse(ast.ClassDef(item.name, item.bases, item.keywords, [ast.Pass()], []) if isinstance(item, ast.ClassDef) else type(item)(item.name, item.args, [ast.Pass()], [], item.returns))
+            for node_ in (node, *members):
+                if isinstance(node_, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                    node_.body, node_.decorator_list = [ast.Pass()], []
+                    head = ast.unparse(node_)
                     found.append(head.split("\n")[0].removesuffix(":").strip())
         return found[:OUTLINE_ENTRIES]
     if ext in DEFINITIONS:
@@ -230,11 +231,11 @@ def with_chunks(docs: DataFrame, content: str = "content", path: str | None = "p
 
 def attributed(outline: Column, text: Column) -> Column:
     """Entries whose first line the text holds."""
-    return F.filter(outline, lambda e: F.contains(text, F.element_at(F.split(e, "\n"), 1)))
+    return F.filter(outline, lambda e: F.contains(text, item(F.split(e, "\n"), 1)))
 
 
 def plain_summary(text: Column) -> Column:
-    first = F.element_at(F.filter(text_lines(text), lambda x: trimmed(x) != ""), 1)
+    first = item(F.filter(text_lines(text), lambda x: trimmed(x) != ""), 1)
     return clipped(F.coalesce(first, F.lit("(empty)")), 200)
 
 
@@ -242,9 +243,9 @@ def markdown_summary(text: Column, outline: Column) -> Column:
     """``title: first line of text after it``; the title and its sections without one; else the first line."""
     lines = F.filter(F.transform(text_lines(text), trimmed), lambda x: x != "")
     title_at = F.coalesce(F.array_position(F.transform(lines, lambda x: F.startswith(x, F.lit("#")) & (trimmed(F.regexp_replace(x, "^#+", "")) != "")), True), F.lit(0))
-    title = trimmed(F.regexp_replace(F.element_at(lines, F.greatest(title_at, F.lit(1)).cast("int")), "^#+", ""))
+    title = trimmed(F.regexp_replace(item(lines, F.greatest(title_at, F.lit(1)).cast("int")), "^#+", ""))
     after = F.filter(F.slice(lines, (title_at + 1).cast("int"), F.size(lines)), lambda x: ~F.startswith(x, F.lit("#")))
-    joined = F.when(F.size(after) > 0, clipped(F.concat(title, F.lit(": "), F.element_at(after, 1)), 200)).when(F.size(outline) > 0, F.concat(title, F.lit("; sections: "), F.array_join(outline, ", "))).otherwise(title)
+    joined = F.when(F.size(after) > 0, clipped(F.concat(title, F.lit(": "), item(after, 1)), 200)).when(F.size(outline) > 0, F.concat(title, F.lit("; sections: "), F.array_join(outline, ", "))).otherwise(title)
     return F.when(title_at > 0, joined).otherwise(plain_summary(text))
 
 

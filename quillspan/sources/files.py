@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import item
+
 #: Extensions by kind.  Fixed values.
 KINDS = {
     "Markdown": "md mdx markdown".split(),
@@ -45,7 +47,7 @@ def _any_part(path: Column, test) -> Column:
 
 def skipped(path: Column) -> Column:
     """Whether a walk leaves the file out."""
-    name = F.element_at(F.split(path, "/"), -1)
+    name = item(F.split(path, "/"), -1)
     return name.isin(*SKIP_NAMES) | _any_part(path, lambda p: p.isin(SKIP_PARTS) | F.startswith(p, F.lit(SKIP_PREFIX))) | F.coalesce(extension(path).isin(SKIP_EXTENSIONS), F.lit(False))
 
 

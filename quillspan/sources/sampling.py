@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import item
+
 #: Multiplier and increment of the 64-bit generator.  Fixed values.
 LCG = (6364136223846793005, 1442695040888963407)
 SUBJECTS = "the archive|a quiet committee|the northern station|an old ledger|the survey team|a passing engineer|the second draft|the harbour office".split("|")
@@ -51,7 +53,7 @@ def haystack_documents(spark: SparkSession, items: list[tuple[str, str, int, int
 
 def file_weight(path: Column) -> Column:
     """3 for READMEs, 2 for change logs and news, 1 for the rest."""
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    name = F.lower(item(F.split(path, "/"), -1))
     return F.when(F.startswith(name, F.lit("readme")), 3).when(name.rlike("^(changelog|changes|news)"), 2).otherwise(1)
 
 
