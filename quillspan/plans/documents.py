@@ -70,7 +70,7 @@ WITH p AS (SELECT page_id, regexp_replace(split_part(url, '?', 1), '^https?://',
 x AS (SELECT *, nullif(regexp_extract(path, '[^/]\.([^./]+)$', 1), '') AS ext, string_split(path, '/') AS parts FROM p)
 SELECT page_id, path, CASE WHEN ext IN ('md','mdx','markdown') THEN 'Markdown' WHEN ext IN ('txt','log','cfg','conf','ini','env','toml','yaml','yml','json','xml') THEN 'PlainText' WHEN ext IN ('csv','tsv','parquet') THEN 'Tabular' WHEN ext IN ('srt','vtt') THEN 'Transcript'
   WHEN ext IN ('rs','py','js','ts','tsx','jsx','go','c','cpp','h','hpp','java','rb','ex','exs','zig','lua','sh','bash','zsh','cs','swift','kt','scala','r','R','pl','pm','php') THEN 'Code' ELSE 'Other' END AS kind,
-  len(list_filter(parts, lambda c: c IN ('target','node_modules','__pycache__','dist','build','vendor','scripts','qa') OR starts_with(c, '.caw'))) > 0 OR coalesce(ext IN ('lock','png','jpg','jpeg','gif','ico','svg','zip','tar','gz','exe','so','o','a','db','class'), FALSE) AS skipped,
+  len(list_filter(parts, lambda c: c IN ('target','node_modules','__pycache__','dist','build','vendor','scripts','qa') OR starts_with(c, '.'))) > 0 OR coalesce(ext IN ('lock','png','jpg','jpeg','gif','ico','svg','zip','tar','gz','exe','so','o','a','db','class'), FALSE) AS skipped,
   CASE WHEN contains(lower(path), 'changelog') THEN 'changelog' WHEN contains(lower(path), 'copyright') THEN 'copyright' WHEN contains(lower(path), 'readme') THEN 'readme' WHEN contains(lower(path), 'news') THEN 'news' ELSE 'doc' END AS doc_type FROM x
 """)
 def page_kinds(spark, d):

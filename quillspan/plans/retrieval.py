@@ -114,13 +114,13 @@ def candidate_list(spark, d):
 a AS (SELECT *, CASE WHEN ex AND p LIKE '%.md' THEN least(score * 1.5, 1.0) ELSE score END AS s1 FROM k),
 b AS (SELECT *, sum((kind = 'Code')::INT) OVER (PARTITION BY query_id ORDER BY s1 DESC, id ROWS UNBOUNDED PRECEDING) AS nth FROM a),
 c AS (SELECT query_id, id, p AS path, CASE WHEN ex AND kind = 'Code' AND nth > 5 THEN 0.0 ELSE s1 END * CASE WHEN NOT about AND contains(p, 'src2') THEN 0.25 ELSE 1 END AS s2 FROM b)
-SELECT query_id, id, path, round(s2, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, id))::INT AS rank FROM c""")
+SELECT query_id, id, path, round(s2, 9) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, id))::INT AS rank FROM c""")
 def score_rewrite(spark, d):
     """Even queries ask for an explanation; two sources stand for documentation, src2 and the like for benchmark files."""
     hits = _normal(spark, d).join(questions(spark, d), "query_id").withColumn("kind", F.when(F.col("n_chars") % 2 == 0, "Code").otherwise("Markdown"))
     hits = hits.withColumn("path", F.when(F.col("path").isin("src0", "src1"), F.concat("path", F.lit(".md"))).otherwise(F.col("path")))
     out = fusion.rewrite_scores(hits, explanation=F.col("query_id") % 2 == 0, query=F.col("text"), penal_path="src2", penal_terms=("bench",))
-    return out.select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
+    return out.select("query_id", "id", "path", F.round("score", 9).alias("score"), "rank")
 
 
 @query("keyword_overlap", """

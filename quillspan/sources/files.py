@@ -15,10 +15,10 @@ KINDS = {
     "PlainText": "txt log cfg conf ini env toml yaml yml json xml".split(),
     "Transcript": "srt vtt".split(),
 }
-#: What a walk leaves out: names, path components, component prefixes, extensions.  Fixed values.
+#: What a walk leaves out: names, path components, hidden ones, extensions.  Fixed values.
 SKIP_NAMES = ("MASCOT.md", "CLAUDE.md")
 SKIP_PARTS = "target node_modules __pycache__ dist build vendor scripts qa".split()
-SKIP_PREFIX = ".caw"
+HIDDEN = "."
 SKIP_EXTENSIONS = (
     "lock png jpg jpeg gif ico svg woff woff2 ttf eot otf zip tar gz bz2 xz 7z rar exe dll so dylib o a wasm pyc pyo class "
     "sqlite sqlite3 db sqlite-shm sqlite-wal"
@@ -48,7 +48,7 @@ def _any_part(path: Column, test) -> Column:
 def skipped(path: Column) -> Column:
     """Whether a walk leaves the file out."""
     name = item(F.split(path, "/"), -1)
-    return name.isin(*SKIP_NAMES) | _any_part(path, lambda p: p.isin(SKIP_PARTS) | F.startswith(p, F.lit(SKIP_PREFIX))) | F.coalesce(extension(path).isin(SKIP_EXTENSIONS), F.lit(False))
+    return name.isin(*SKIP_NAMES) | _any_part(path, lambda p: p.isin(SKIP_PARTS) | F.startswith(p, F.lit(HIDDEN))) | F.coalesce(extension(path).isin(SKIP_EXTENSIONS), F.lit(False))
 
 
 def builder_class(path: Column) -> Column:

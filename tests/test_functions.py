@@ -136,7 +136,7 @@ def test_outlines_and_summaries(spark):
 
 
 def test_kinds_and_skips(spark):
-    for path, kind, skip in (("a/b.md", "Markdown", False), ("a.R", "Code", False), ("x/.hidden", "Other", False), ("d.parquet", "Tabular", False), ("e.vtt", "Transcript", False), ("f.toml", "PlainText", False), ("a/target/x.rs", "Code", True), (".caw-index/x.md", "Markdown", True), ("pic.png", "Other", True), ("docs/CLAUDE.md", "Markdown", True), ("target.md", "Markdown", False)):
+    for path, kind, skip in (("a/b.md", "Markdown", False), ("a.R", "Code", False), ("x/.hidden", "Other", True), ("d.parquet", "Tabular", False), ("e.vtt", "Transcript", False), ("f.toml", "PlainText", False), ("a/target/x.rs", "Code", True), (".index/x.md", "Markdown", True), ("pic.png", "Other", True), ("docs/CLAUDE.md", "Markdown", True), ("target.md", "Markdown", False)):
         assert tuple(ask(spark, path, files.content_kind(X), files.skipped(X))) == (kind, skip), path
     assert [ask(spark, q, files.builder_class(X))[0] for q in ("a.zip", ".x/a.md", "a.lock", "a.md")] == ["archive", "skipped", "skipped", "indexed"]
 
