@@ -225,16 +225,22 @@ class PieceModel:
         return ids, np.bincount(np.repeat(owner, times) if len(odd) else owner, minlength=n_units).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
-def _model(path: str) -> tuple[PieceModel, UnitCache]:
-    model = PieceModel(path)
-    digits = [str(i) for i in range(model.sp.get_piece_size())]
+@lru_cache(maxsize=1)
+def _pieces(path: str) -> PieceModel:
+    return PieceModel(path)
+
+
+@lru_cache(maxsize=1)
+def _model(path: str, noted: bool = False) -> tuple[PieceModel, UnitCache]:
+    """The model and a cache, with the units' ids as decimals if ``noted``; a worker keeps one of them."""
+    model = _pieces(path)
+    digits = [str(i) for i in range(model.sp.get_piece_size())] if noted else []
 
     def decimals(flat: np.ndarray, counts: np.ndarray) -> list[str]:
         all_of, ends = list(map(digits.__getitem__, flat.tolist())), np.cumsum(counts)
         return [",".join(all_of[s:e]) for s, e in zip((ends - counts).tolist(), ends.tolist())]
 
-    return model, UnitCache(model.split, model.encode_units, np.int32, note=decimals)
+    return model, UnitCache(model.split, model.encode_units, np.int32, max_units=300_000, note=decimals if noted else None)
 
 
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
@@ -272,7 +278,7 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in row_groups(batches, "text"):
-            pieces, cache = _model(model)
+            pieces, cache = _model(model, noted=True)
             places, per_text = cache.places(texts)
             flat, counts = cache.gathered(places, per_text)
             notes, at, start = list(map(cache.notes.__getitem__, places.tolist())), 0, 0

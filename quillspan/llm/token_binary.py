@@ -66,7 +66,7 @@ def _encoder(path: str) -> UnitCache:
         flat[~in_line] = np.array([i for x in other_ids for i in x], np.uint32)
         return flat, counts
 
-    return UnitCache(UNIT.findall, encode_new)
+    return UnitCache(UNIT.findall, encode_new, max_units=1_000_000)
 
 
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

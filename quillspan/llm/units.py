@@ -12,8 +12,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Units held by one cache; at this size it starts anew, so a worker's memory stays bounded.
-MAX_UNITS = 1_000_000
+#: Units held by one cache; at this size it starts anew, so a worker's memory stays bounded (about 200 bytes a unit).
+MAX_UNITS = 500_000
 
 
 class Numbers(dict):
