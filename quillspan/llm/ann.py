@@ -1,22 +1,25 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is centred on the corpus mean (of all vectors), brought to length 1 and rotated by one
-random orthogonal matrix; the signs of its coordinates are its code, packed to bits.  With the
-two correction scalars of a code (the vector's distance from the centre, and the inner product of
-the unit vector with its own code) the inner product with a rotated query is estimated without
-bias, and its error is bounded: it stays within ``confidence`` standard widths but for a
-probability that falls with ``exp(-c * confidence**2)``.
+Every vector is centred on the corpus mean (of all vectors), brought to length 1, padded with
+zeros to ``CODE_BITS`` coordinates at least and rotated by one random orthogonal matrix; the signs
+of its coordinates are its code, packed to bits.  With the two correction scalars of a code (the
+vector's distance from the centre, and the inner product of the unit vector with its own code)
+the inner product with a rotated query is estimated without bias, and its error is bounded: it
+stays within ``confidence`` standard widths but for a probability that falls with
+``exp(-c * confidence**2)``.  More coordinates make the widths narrower.
 
 A query block meets a candidate block in one task.  Estimates come from the unpacked bits in one
-matrix product; a candidate is read in full and scored exactly, in double precision, if its upper
-bound reaches the k-th best lower bound of the block.  Each task returns at most ``k`` rows a
-query, and the k best of these are the result.  Blocks have a fixed number of rows, so no task
-grows with the table; the work is the stated queries times all rows.
+matrix product.  The best estimates are read in full; the k-th best of their scores is a floor,
+and every candidate whose upper bound reaches it is read and scored too, in double precision.
+Each task returns at most ``k`` rows a query, and the k best of these are the result.  Blocks have
+a fixed number of rows, so no task grows with the table; the work is the stated queries times
+all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 16_384
 SEED = 7
+#: Coordinates of a code, at least: the error of an estimate falls with their square root.
+CODE_BITS = 256
 
 
 def usable(vector: Column) -> Column:
@@ -33,10 +38,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+@lru_cache(maxsize=4)
 def rotation(size: int) -> np.ndarray:
-    """A random orthogonal matrix; the same for every call with this size."""
-    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(SEED)).standard_normal((size, size)))
-    return q * np.sign(np.diag(r))
+    """The first ``size`` columns of a random orthogonal matrix; the same for every call with this size."""
+    bits = max(CODE_BITS, -(-size // 64) * 64)
+    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(SEED)).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:, :size]
 
 
 def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +52,7 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     far = np.linalg.norm(rest, axis=1)
     unit = (rest / np.where(far > 0, far, 1)[:, None]) @ turn.T
     bits = unit > 0
-    own = np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])
+    own = np.abs(unit).sum(axis=1) / np.sqrt(len(turn))
     return np.packbits(bits, axis=1), far, own
 
 
@@ -54,7 +61,7 @@ def bounds(query: np.ndarray, codes: np.ndarray, far: np.ndarray, own: np.ndarra
 
     ``along``: the queries' inner products with the centre.
     """
-    size = query.shape[1]
+    size = len(turn)
     signs = (np.unpackbits(codes, axis=1, count=size).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(size))
     turned = query @ turn.T
     safe = np.where(own > 0, own, 1)
@@ -88,13 +95,12 @@ def coded(vectors: DataFrame, centres: dict[int, list[float]]) -> DataFrame:
     """The index: codes and correction scalars of every usable vector (vec_id, vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = {n: rotation(n) for n in centres}
         for batch in batches:
             sizes = np.diff(batch.column("vector").offsets.to_numpy())
             for n in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == n))
                 data = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-                codes, far, own = encode(data, np.array(centres[n]), turns[n])
+                codes, far, own = encode(data, np.array(centres[n]), rotation(n))
                 yield pa.record_batch([part.column("vec_id"), pa.array(np.full(len(data), n, np.int32)), part.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(far), pa.array(own)], names=["vec_id", "size", "vector", "code", "far", "own"])
 
     return vectors.mapInArrow(run, INDEX)
@@ -136,16 +142,28 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, *, vec_id: str = "ve
             part = query[start : start + 128]
             estimate, error = bounds(part, codes, far, own, centre, turn, part @ centre, confidence)
             for r in range(len(part)):
-                low, high = estimate[r] - error[r], estimate[r] + error[r]
-                other = ids != query_ids[start + r]
-                low = np.where(other, low, -np.inf)
-                level = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-                may = np.flatnonzero(other & (high >= level))
+                estimate[r][ids == query_ids[start + r]] = -np.inf
+                answers = np.flatnonzero(estimate[r] > -np.inf)
+                if not len(answers):
+                    continue
+                floor = -np.inf
+                if len(answers) > k:
+                    first = np.argpartition(estimate[r], -min(len(ids), 4 * k))[-4 * k :]
+                    seen = vectors[first[estimate[r][first] > -np.inf]] @ part[r]
+                    floor = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else floor
+                may = np.flatnonzero(estimate[r] + error[r] >= floor)
+                may = may[estimate[r][may] > -np.inf]
+                # products in any order say who can be among the k best; their scores are then added up in one order
+                rough = vectors[may] @ part[r]
+                if len(may) > k:
+                    may = may[rough >= np.partition(rough, len(may) - k)[len(may) - k] - 1e-9 * (1 + np.abs(rough).max())]
                 scores = inner_products(part[r], vectors[may])
                 top = best(scores, ids[may], k)
                 out_q.append(np.full(len(top), query_ids[start + r]))
                 out_v.append(ids[may][top])
                 out_s.append(scores[top])
+        if not out_q:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
     found = asking.groupBy("size", "qb", "vb").cogroup(index.groupBy("size", "qb", "vb")).applyInArrow(search, "query_id long, vec_id long, score double")

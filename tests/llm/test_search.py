@@ -175,15 +175,15 @@ def test_nearest(spark):
 def test_bounds_hold_and_prune():
     data = np.array([v for _, v in vectors(3000, 64, 9)])
     centre, turn = data.mean(axis=0), ann.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64))
+    assert np.allclose(turn.T @ turn, np.eye(64)) and turn.shape == (256, 64)
     codes, far, own = ann.encode(data, centre, turn)
     query = data[:50]
     estimate, error = ann.bounds(query, codes, far, own, centre, turn, query @ centre, 4.0)
     exact = query @ data.T
     assert (np.abs(estimate - exact) <= error).mean() > 0.999
     assert abs(((estimate - exact) / error).mean()) < 0.05
-    level = np.sort(estimate - error, axis=1)[:, -20]
-    assert ((estimate + error) >= level[:, None]).mean() < 0.8
+    level = np.sort(exact, axis=1)[:, -20]
+    assert ((estimate + error) >= level[:, None]).mean() < 0.4
 
 
 # ---- pipeline -------------------------------------------------------------------------------
