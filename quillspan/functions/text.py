@@ -14,8 +14,9 @@ STOPWORDS = (
     "some very when also just should"
 ).split()
 #: Places inside an alphanumeric run where a subword begins: before capitals, before the last
-#: capital of an acronym, between letters and digits.  Applied in this order.
-SUBWORD_BREAKS = (r"(\P{Lu})(\p{Lu})", r"(\p{Lu})(\p{Lu}\p{Ll})", r"(\p{L})([0-9])", r"([0-9])(\p{L})")
+#: capital of an acronym, between letters and digits.  Applied in this order, with a mark between.
+SUBWORD_BREAKS = (r"([\p{L}\p{N}&&\P{Lu}])(\p{Lu})", r"(\p{Lu})(\p{Lu}\p{Ll})", r"(\p{L})([0-9])", r"([0-9])(\p{L})")
+BREAK = "\x01"
 
 
 def words(text: Column) -> Column:
@@ -55,14 +56,15 @@ def index_tokens(text: Column) -> Column:
     Terms of one byte are left out.
     """
 
+    marked = F.translate(F.coalesce(text, F.lit("")), BREAK, " ")
+    for pattern in SUBWORD_BREAKS:  # over the whole text, not run by run
+        marked = F.regexp_replace(marked, pattern, f"$1{BREAK}$2")
+    runs = F.regexp_extract_all(F.lower(marked), F.lit(rf"[\p{{L}}\p{{N}}{BREAK}]+"), F.lit(0))
+
     def expanded(run: Column) -> Column:
-        broken = run
-        for pattern in SUBWORD_BREAKS:
-            broken = F.regexp_replace(broken, pattern, "$1 $2")
-        parts = F.split(broken, " ")
-        return F.concat(F.array(F.lower(run)), F.when(F.size(parts) > 1, F.transform(parts, F.lower)).otherwise(F.array().cast("array<string>")))
+        several = F.concat(F.array(F.replace(run, F.lit(BREAK), F.lit(""))), F.split(run, BREAK))
+        return F.when(F.contains(run, F.lit(BREAK)), several).otherwise(F.array(run))
 
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return F.filter(F.flatten(F.transform(runs, expanded)), lambda t: F.octet_length(t) > 1)
 
 
