@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, item, words
+from .text import SPACE, bound, item, words
 
 IM_START, IM_END = "<|im_start|>", "<|im_end|>"
 #: Fixed patterns of the protocol.
@@ -116,7 +116,11 @@ def detect_loop(text: Column) -> Column:
     frequent go to the smallest in order.
     """
     text = F.coalesce(text, F.lit(""))
-    w = words(text)
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), trimmed), lambda x: F.octet_length(x) > 30)
+    return bound(F.struct(words(text).alias("w"), lines.alias("l"), text.alias("t")), lambda s: _loop_reason(s["w"], s["l"], s["t"]))
+
+
+def _loop_reason(w: Column, lines: Column, text: Column) -> Column:
     n = F.size(w)
 
     def runs(items: Column) -> Column:
@@ -126,10 +130,9 @@ def detect_loop(text: Column) -> Column:
     # a word over 70 % fills the middle of the sorted words
     ordered = F.array_sort(w)
     middle = item(ordered, (n / 2).cast("int") + 1)
-    share = F.floor(F.size(F.filter(w, lambda x: x == middle)) * 100 / n)
+    share = bound(middle, lambda m: F.floor(F.size(F.filter(w, lambda x: x == m)) * 100 / n))
     trigrams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
     distinct = F.size(F.array_distinct(trigrams))
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), trimmed), lambda x: F.octet_length(x) > 30)
     repeated = item(F.array_sort(F.filter(runs(lines), lambda s: s["k"] <= -3)), 1)
     return (
         F.when(F.contains(text, F.lit(IM_END)), F.lit(f"chat_template_token: {IM_END}"))

@@ -29,6 +29,11 @@ def item(array: Column, at: int | Column) -> Column:
     return F.try_element_at(array, at if isinstance(at, Column) else F.lit(at))
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: inside a lambda an expression is computed at each step."""
+    return item(F.transform(F.array(value), f), 1)
+
+
 def token_count(text: Column) -> Column:
     """White-space tokens, 1 at least."""
     return F.greatest(F.size(words(text)), F.lit(1)).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.protocol import json_object
+from ..functions.text import bound
 
 #: Flags of an intent.  Fixed values, in order.
 FLAGS = (
@@ -41,19 +42,22 @@ def parse_intent(raw: Column) -> Column:
 
     A key whose core equals a flag's sets that flag, so ``is_explanation`` counts as ``wants_explanation``.
     """
-    values = F.from_json(json_object(raw), "map<string,string>")
-    cores = {f: F.lit(f) for f in FLAGS}
-    entries = F.map_entries(values)
+    return bound(F.from_json(json_object(raw), "map<string,string>"), _intent)
 
-    def flag(name: str) -> Column:
-        return F.exists(entries, lambda e: (key_core(e["key"]) == key_core(cores[name])) & (e["value"] == "true"))
 
+def _intent(values: Column) -> Column:
+    entries = F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), key_core(e["key"]).alias("core")))
     known = F.array(*(key_core(F.lit(f)) for f in FLAGS))
-    boolean = lambda e: e["value"].isin("true", "false")
-    extra = F.map_from_entries(F.filter(entries, lambda e: ~(F.array_contains(known, key_core(e["key"])) & boolean(e)) & (e["key"] != "confidence")))
-    confidence = F.try_element_at(values, F.lit("confidence")).try_cast("double")
-    clamped = F.when(F.isnan(confidence), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)))
-    return F.when(values.isNotNull(), F.struct(*(flag(f).alias(f) for f in FLAGS), clamped.alias("confidence"), extra.alias("extra"), F.map_keys(values).alias("keys")))
+
+    def made(entries: Column) -> Column:
+        flag = lambda name: F.exists(entries, lambda e: (e["core"] == key_core(F.lit(name))) & (e["value"] == "true"))
+        other = F.filter(entries, lambda e: ~(F.array_contains(known, e["core"]) & e["value"].isin("true", "false")) & (e["key"] != "confidence"))
+        extra = F.map_from_entries(F.transform(other, lambda e: F.struct(e["key"], e["value"])))
+        confidence = F.try_element_at(values, F.lit("confidence")).try_cast("double")
+        clamped = F.when(F.isnan(confidence), 0.0).when(confidence.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)))
+        return F.when(values.isNotNull(), F.struct(*(flag(f).alias(f) for f in FLAGS), clamped.alias("confidence"), extra.alias("extra"), F.map_keys(values).alias("keys")))
+
+    return bound(entries, made)
 
 
 def guidance(intent: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Recall
 from ..functions.protocol import trimmed
-from ..functions.text import clipped, overlap_topics, words
+from ..functions.text import bound, clipped, overlap_topics, words
 
 #: Phrases of an answer that has none.  Fixed values, in lower case so that they can match.
 HEDGES = ("no specific information", "no information available", "no information provided", "i don't have", "i cannot find", "there is no information", "there is no specific")
@@ -66,9 +66,12 @@ def compress_answer(text: Column, most: int = 300) -> Column:
 
 def tail_windows(text: Column, size: int = 192, every: int = 32) -> Column:
     """Queries of passive injection: after each ``every`` tokens, the last ``size`` of them."""
-    w = words(text)
-    ends = F.when(F.size(w) >= every, F.sequence(F.lit(every), F.size(w), F.lit(every))).otherwise(F.array().cast("array<int>"))
-    return F.transform(ends, lambda e: F.array_join(F.slice(w, F.greatest(e - size + 1, F.lit(1)), F.least(e, F.lit(size))), " "))
+
+    def windows(w: Column) -> Column:
+        ends = F.when(F.size(w) >= every, F.sequence(F.lit(every), F.size(w), F.lit(every))).otherwise(F.array().cast("array<int>"))
+        return F.transform(ends, lambda e: F.array_join(F.slice(w, F.greatest(e - size + 1, F.lit(1)), F.least(e, F.lit(size))), " "))
+
+    return bound(words(text), windows)
 
 
 #: Health states, from best to worst.
