@@ -144,8 +144,8 @@ def _loop_reason(w: Column, lines: Column, text: Column) -> Column:
     )
 
 
-def json_object(text: Column) -> Column:
-    """The first balanced ``{...}``, strings and escapes minded; null if there is none."""
+def _walked_object(text: Column) -> Column:
+    """By a walk over the characters: any depth."""
     start = F.instr(text, "{")
     chars = F.split(F.substring(text, start, F.length(text)), "")
     begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
@@ -162,6 +162,21 @@ def json_object(text: Column) -> Column:
     return F.when((start > 0) & (size > 0), F.substring(text, start, size))
 
 
+def _nested(depth: int) -> str:
+    """A pattern of balanced braces down to a depth, strings and escapes minded."""
+    inner = "" if depth == 0 else "|" + _nested(depth - 1)
+    return r"\{(?:[^{}\"]++|\"(?:[^\"\\]|\\.)*+\"" + inner + r")*+\}"
+
+
+def json_object(text: Column) -> Column:
+    """The first balanced ``{...}``, strings and escapes minded; null if there is none.
+
+    A pattern finds objects of up to six levels; only what it does not fit is walked.
+    """
+    found = F.regexp_extract(text, r"(?s)^[^{]*+(" + _nested(5) + ")", 1)
+    return F.when(found != "", found).when(F.contains(text, F.lit("{")), _walked_object(text))
+
+
 def stub_references(text: Column) -> Column:
     return _all(text, r'<file id="([^"]+)"', 1)
 
