@@ -5,16 +5,17 @@ Its encoding (hex, base32, base 36 or base 64, by its characters) says which alp
 uniform over.  Three tests are made:
 
 * chi-squared uniformity of the symbols over the alphabet (of its classes of digits, lower and
-  upper case for the large alphabets, where a token is too short for single symbols);
+  upper case, where a token is too short for single symbols);
 * Wald-Wolfowitz runs of symbol values above and below the alphabet's middle;
 * serial correlation of neighbouring symbol values.
 
-Runs and correlation ask whether the token departs from randomness; one that does (p below
-``DEPART``) is no secret.  The uniformity statistic gives the discovery p-value: how likely is a
-fit this good under the language alternative, whose non-centrality grows with the length (normal
-approximation of the non-central law).  Benjamini-Hochberg over the candidates of one document
-decides, with weights in proportion to candidate length (mean 1), so long tokens, whose tests have
-the power, get more of the error budget.  A document's verdicts do not depend on other documents.
+They ask whether the token departs from randomness; one that does (p below ``DEPART``) is no
+secret.  The discovery p-value says how likely language comes as close to uniform symbols: the
+likelihood ratio of the token's symbol pairs under a model of words, names, paths and numbers
+(``language_p``).  Benjamini-Hochberg over the tested candidates of one document decides, with
+weights in proportion to candidate length (mean 1), so long tokens, whose tests have the power, get
+more of the error budget.  Runs that fit no encoding are not tested and do not count.  A document's
+verdicts do not depend on other documents.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +41,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DEPART, RATE = 1e-3, 0.01
-#: Per symbol non-centrality of ordinary words against uniform symbols.
-DISTANCE = 1.0
+#: Share of the language's characters that follow no rule (codes, abbreviations, rare words).
+OTHER = 0.05
+#: In the language, the class of a character by the class of the one before: digit, lower, upper, other.
+CLASSES = {
+    "": {"d": 0.15, "l": 0.45, "u": 0.35, "o": 0.05},
+    "d": {"d": 0.65, "l": 0.08, "u": 0.07, "o": 0.20},
+    "l": {"d": 0.03, "l": 0.86, "u": 0.05, "o": 0.06},
+    "u": {"d": 0.08, "l": 0.35, "u": 0.45, "o": 0.12},
+    "o": {"d": 0.25, "l": 0.45, "u": 0.20, "o": 0.10},
+}
+#: Letter pairs of the words in Python's standard library: a row for each letter before, 9 for half of it, each step down half of that.
+PAIRS = (
+    "04550140402656040666331230 61327010560611530442600050 60316106405521710426400010 52248120600401500443500120 "
+    "41553520100646142666032530 60235510700411720644501020 41108045600425410563520001 70008000600111600414300000 "
+    "33443540000557530466030203 40308000202000620040600000 41228130600404230252315010 52147700600501520054500040 "
+    "74028000500241660042400010 60566360402203620056330020 24451420203457450745534100 70227102400600650636410040 "
+    "00000000000302121330900000 61337240502245610555421040 40408024502211440157401030 50326107601310520644502040 "
+    "34326330400656250756000000 80008000500011300000000000 60136006700314500641002000 41715201500330160137000330 "
+    "13325201400445470376024010 50008202600332520010000020"
+).split()
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings by their alphabets, the smallest that holds a token counts.
@@ -56,6 +76,12 @@ ENCODINGS = {
 }
 _SETS = {name: frozenset(alphabet) for name, alphabet in ENCODINGS.items()}
 _VALUES = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
+_SYMBOLS = _UPPER + _LOWER + _DIGITS + "+/-_"
+
+
+def _kind(c: str) -> str:
+    """Digit, lower, upper or other."""
+    return c and ("d" if c in _DIGITS else "l" if c in _LOWER else "u" if c in _UPPER else "o")
 
 
 def encoding_of(token: str) -> str | None:
@@ -71,8 +97,44 @@ def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+@lru_cache(maxsize=1)
+def _language() -> dict[tuple[str, str], float]:
+    """Log-probability of a character after another ("" at the start) in words, names, paths and numbers."""
+    letters = dict(zip(_LOWER, ([2.0 ** (int(x) - 9) if x > "0" else 2.0**-10 for x in row] for row in PAIRS)))
+    letters = {a: {c: v / sum(row) for c, v in zip(_LOWER, row)} for a, row in letters.items()}
+    alone = {c: sum(row[c] for row in letters.values()) / 26 for c in _LOWER}
+    out = {}
+    for a in ("", *_SYMBOLS):
+        for c in _SYMBOLS:
+            kind, low, before = _kind(c), c.lower(), letters.get(a.lower())
+            share = 0.1 if kind == "d" else 0.25 if kind == "o" else 0.6 * before[low] + 0.4 * alone[low] if before else alone[low]
+            out[a, c] = math.log((1 - OTHER) * CLASSES[_kind(a)][kind] * share + OTHER / len(_SYMBOLS))
+    return out
+
+
+def language_p(body: str, encoding: str) -> float:
+    """A bound of how likely words or repetition come as close to uniform symbols as ``body``.
+
+    The ratio of two likelihoods is at least x with probability 1/x at most under the lower one, so its
+    inverse is a p-value at every length.  The lower one is half the language, half a writer who repeats
+    what followed the last symbol before; the upper one is uniform over one of the encodings, each as likely.
+    """
+    size, model = len(ENCODINGS[encoding]), _language()
+    words = again = 0.0
+    before, after = "", {}
+    for c in body:
+        log = model[before, c]
+        words += log
+        again += math.log(0.5 * (after[before] == c) + 0.5 * math.exp(log)) if before in after else log
+        after[before] = c
+        before = c
+    high = max(words, again)
+    low = high + math.log(0.5 * math.exp(words - high) + 0.5 * math.exp(again - high))
+    return math.exp(min(0.0, low + len(body) * math.log(size) + math.log(len(ENCODINGS))))
+
+
 def battery(token: str, encoding: str) -> dict[str, float]:
-    """p-values: ``language`` (fit this good under the language alternative), ``runs``, ``serial``."""
+    """p-values: ``language`` (fit this good under the language alternative), ``uniform``, ``runs``, ``serial``."""
     body = token.rstrip("=")
     values = [_VALUES[encoding][c] for c in body]
     n, size = len(values), len(ENCODINGS[encoding])
@@ -80,18 +142,13 @@ def battery(token: str, encoding: str) -> dict[str, float]:
         cells = Counter(values)
         expected = {v: n / size for v in range(size)}
     else:
-        kind = lambda c: "d" if c in _DIGITS else "l" if c in _LOWER else "u" if c in _UPPER else "o"
-        cells = Counter(map(kind, body))
-        share = Counter(map(kind, ENCODINGS[encoding]))
+        cells = Counter(map(_kind, body))
+        share = Counter(map(_kind, ENCODINGS[encoding]))
         expected = {k: n * v / size for k, v in share.items()}
-        # how often symbols repeat: words use few letters often, random symbols collide as pairs of birthdays
-        pairs = sum(v * (v - 1) / 2 for v in Counter(values).values())
-        mean = n * (n - 1) / 2 / size
-        cells["pair"], expected["pair"] = max(pairs, 0), mean
-    chi = sum((cells.get(k, 0) - e) ** 2 / e for k, e in expected.items() if e > 0)
-    df = max(1, len(expected) - 1)
-    far = n * DISTANCE
-    language = _upper_tail(-(chi - (df + far)) / math.sqrt(2 * (df + 2 * far)))
+    chi = sum((cells.get(k, 0) - e) ** 2 / e for k, e in expected.items())
+    df = len(expected) - 1
+    # the cube root of a chi-squared variable is nearly normal
+    uniform = _upper_tail(((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df))) if df else 1.0
     middle = (size - 1) / 2
     above = [v > middle for v in values]
     a, b = sum(above), n - sum(above)
@@ -105,20 +162,20 @@ def battery(token: str, encoding: str) -> dict[str, float]:
     total = sum((v - average) ** 2 for v in values)
     serial = sum((x - average) * (y - average) for x, y in zip(values, values[1:])) / total if total else 1.0
     serial_p = 2 * _upper_tail(abs(serial + 1 / n) * math.sqrt(n)) if total else 0.0
-    return {"language": language, "runs": runs_p, "serial": serial_p}
+    return {"language": language_p(body, encoding), "uniform": uniform, "runs": runs_p, "serial": serial_p}
 
 
 def discoveries(tokens: list[str], rate: float = RATE) -> list[bool]:
-    """Which of one document's candidates are random: length-weighted Benjamini-Hochberg."""
+    """Which of one document's candidates are random: length-weighted Benjamini-Hochberg over those tested."""
+    tested = [(i, token, encoding) for i, token in enumerate(tokens) if (encoding := encoding_of(token))]
+    mean = sum(len(token) for _, token, _ in tested) / len(tested) if tested else 1
     found = []
-    mean = sum(map(len, tokens)) / len(tokens) if tokens else 1
-    for i, token in enumerate(tokens):
-        if encoding := encoding_of(token):
-            p = battery(token, encoding)
-            if min(p["runs"], p["serial"]) >= DEPART:
-                found.append((p["language"] * mean / len(token), i))
+    for i, token, encoding in tested:
+        p = battery(token, encoding)
+        if min(p["uniform"], p["runs"], p["serial"]) >= DEPART:
+            found.append((p["language"] * mean / len(token), i))
     found.sort()
-    cut = max((k for k, (p, _) in enumerate(found, 1) if p <= rate * k / len(tokens)), default=0)
+    cut = max((k for k, (p, _) in enumerate(found, 1) if p <= rate * k / len(tested)), default=0)
     chosen = {i for _, i in found[:cut]}
     return [i in chosen for i in range(len(tokens))]
 

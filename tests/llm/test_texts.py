@@ -185,6 +185,22 @@ def test_longer_tokens_get_more_of_the_budget():
     assert hits[20] < hits[28] < hits[44]
 
 
+def test_a_secret_is_found_in_a_long_document():
+    rng = random.Random(21)
+    parts = ["Session", "manager", "config", "http", "response", "index", "docs", "release", "2024", "v2", "Buffer", "table"]
+    rulers = ["-" * 60, "_" * 30, "internationalizations", "https/example/docs/release/notes"]
+    name = lambda: "".join(rng.choice(parts) + rng.choice("_-/") for _ in range(5)) + "7"
+    for others in (9, 49):
+        hits = 0
+        for _ in range(60):
+            secret = "".join(rng.choice(secrets.ENCODINGS["base62"]) for _ in range(32))
+            text = " prose ".join([*(rng.choice(rulers) for _ in range(50)), *(name() for _ in range(others)), secret])
+            found = [text[s:e] for s, e, _ in secrets.scan(text)[1]]
+            hits += secret in found
+            assert set(found) <= {secret}
+        assert hits >= 54, others
+
+
 def test_redaction_leaves_no_span_and_keeps_rows(spark, sf):
     text = "a token=abcdef0123456789abcdef0123456789 b " + "Zq3kP9xLw0Rt7VbN2mYc5HdJ8sGf1TaE4uQi6Xo"
     assert secrets.redact(text).startswith("a [SECRET] b") and "abcdef0123" not in secrets.redact(text)
