@@ -1,7 +1,7 @@
 """Secret scan: three patterns, and a battery of randomness tests over other long tokens.
 
-A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` outside the pattern matches.
-Its encoding (hex, base32, base 36 or base 64, by its characters) says which alphabet it should be
+A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_-]`` and the ``=`` after them, outside
+the pattern matches; so the value of NAME=VALUE is one of its own.  Its encoding (hex, base32, base 36 or base 64, by its characters) says which alphabet it should be
 uniform over.  Three tests are made:
 
 * chi-squared uniformity of the symbols over the alphabet (of its classes of digits, lower and
@@ -40,6 +40,9 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+#: '=' is in no alphabet: it ends a token (padding, or a name before its value).
+PART = re.compile(r"[A-Za-z0-9+/_-]+=*")
 DEPART, RATE = 1e-3, 0.01
 #: Share of the language's characters that follow no rule (codes, abbreviations, rare words).
 OTHER = 0.05
@@ -195,7 +198,8 @@ def random_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     """Candidates outside the base spans that pass the battery."""
     # longest reach of base spans that begin before a place, to test for overlap in one pass
     found, reach, k = [], -1, 0
-    for m in CANDIDATE.finditer(text):
+    runs = (m for run in CANDIDATE.finditer(text) for m in PART.finditer(text, *run.span()) if len(m[0]) >= SHORTEST)
+    for m in runs:
         while k < len(base) and base[k][0] < m.end():
             reach, k = max(reach, base[k][1]), k + 1
         if reach <= m.start():

@@ -201,6 +201,16 @@ def test_a_secret_is_found_in_a_long_document():
         assert hits >= 54, others
 
 
+def test_a_value_after_an_equals_sign_is_a_candidate():
+    value = "Zq3kP9xLw0Rt7VbN2mYc5HdJ8sGf1TaE4uQi6Xo"
+    for text in (f"AWS_SECRET_ACCESS_KEY={value}", f"https://h.org/p?sig={value}&x=1", f"AccountKey={value}==", f"A=b={value}", f"{value}=on"):
+        found = [text[s:e].rstrip("=") for s, e, _ in secrets.scan(text)[1]]
+        assert found == [value] and value not in secrets.redact(text), text
+    assert "wJalr" not in secrets.redact("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCY9XAMPLEKEY")
+    padded = "q7Zk3Xw9Lp2Vt8Rb5M=="  # 20 with its padding
+    assert [s[:2] for s in secrets.scan(f"a {padded} b")[1]] == [(2, 22)]
+
+
 def test_redaction_leaves_no_span_and_keeps_rows(spark, sf):
     text = "a token=abcdef0123456789abcdef0123456789 b " + "Zq3kP9xLw0Rt7VbN2mYc5HdJ8sGf1TaE4uQi6Xo"
     assert secrets.redact(text).startswith("a [SECRET] b") and "abcdef0123" not in secrets.redact(text)
