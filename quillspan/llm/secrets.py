@@ -1,8 +1,10 @@
 """Secret scan: three patterns, and a battery of randomness tests over other long tokens.
 
 A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_-]`` and the ``=`` after them, outside
-the pattern matches; so the value of NAME=VALUE is one of its own.  Its encoding (hex, base32, base 36 or base 64, by its characters) says which alphabet it should be
-uniform over.  Three tests are made:
+the pattern matches; so the value of NAME=VALUE is one of its own.  Its encoding (digits, hex, letters
+of one case, base32, base 36 or base 64, by its characters) says which alphabet it should be uniform
+over.  Letters of both cases without a digit or sign are not tested, whatever their length.
+Three tests are made:
 
 * chi-squared uniformity of the symbols over the alphabet (of its classes of digits, lower and
   upper case, where a token is too short for single symbols);
@@ -14,7 +16,7 @@ secret.  The discovery p-value says how likely language comes as close to unifor
 likelihood ratio of the token's symbol pairs under a model of words, names, paths and numbers
 (``language_p``).  Benjamini-Hochberg over the tested candidates of one document decides, with
 weights in proportion to candidate length (mean 1), so long tokens, whose tests have the power, get
-more of the error budget.  Runs that fit no encoding are not tested and do not count.  A document's
+more of the error budget.  Runs that are not tested do not count.  A document's
 verdicts do not depend on other documents.
 """
 
@@ -68,8 +70,11 @@ PAIRS = (
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings by their alphabets, the smallest that holds a token counts.
 ENCODINGS = {
+    "digits": _DIGITS,
     "hex": _DIGITS + "abcdef",
     "hex_upper": _DIGITS + "ABCDEF",
+    "lower": _LOWER,
+    "upper": _UPPER,
     "base32": _UPPER + "234567",
     "base36": _DIGITS + _LOWER,
     "base36_upper": _DIGITS + _UPPER,
@@ -88,10 +93,10 @@ def _kind(c: str) -> str:
 
 
 def encoding_of(token: str) -> str | None:
-    """The token's encoding; None for what is written without digits (words) or fits none."""
+    """The token's encoding; None for rulers, for letters of both cases alone, and for what fits none."""
     body = token.rstrip("=")
     seen = frozenset(body)
-    if not any(c in seen for c in _DIGITS) or not any(c.isalpha() for c in seen):
+    if not any(c.isalnum() for c in seen) or body.isalpha() and not (body.islower() or body.isupper()):
         return None
     return next((name for name, symbols in _SETS.items() if seen <= symbols), None)
 
@@ -119,20 +124,22 @@ def language_p(body: str, encoding: str) -> float:
     """A bound of how likely words or repetition come as close to uniform symbols as ``body``.
 
     The ratio of two likelihoods is at least x with probability 1/x at most under the lower one, so its
-    inverse is a p-value at every length.  The lower one is half the language, half a writer who repeats
-    what followed the last symbol before; the upper one is uniform over one of the encodings, each as likely.
+    inverse is a p-value at every length.  The lower one is the language, a writer who repeats what followed
+    the last symbol before, or one of few symbols (DNA), a third each; the upper one is uniform over one of the encodings, each as likely.
     """
     size, model = len(ENCODINGS[encoding]), _language()
-    words = again = 0.0
-    before, after = "", {}
-    for c in body:
+    words = again = few = 0.0
+    before, after, counts = "", {}, Counter()
+    for i, c in enumerate(body):
         log = model[before, c]
         words += log
         again += math.log(0.5 * (after[before] == c) + 0.5 * math.exp(log)) if before in after else log
+        few += math.log(0.5 * counts[c] / i + 0.5 * math.exp(log)) if i else log
         after[before] = c
+        counts[c] += 1
         before = c
-    high = max(words, again)
-    low = high + math.log(0.5 * math.exp(words - high) + 0.5 * math.exp(again - high))
+    high = max(words, again, few)
+    low = high + math.log(sum(math.exp(x - high) for x in (words, again, few)) / 3)
     return math.exp(min(0.0, low + len(body) * math.log(size) + math.log(len(ENCODINGS))))
 
 

@@ -211,6 +211,15 @@ def test_a_value_after_an_equals_sign_is_a_candidate():
     assert [s[:2] for s in secrets.scan(f"a {padded} b")[1]] == [(2, 22)]
 
 
+def test_tokens_of_letters_or_digits_alone_are_tested():
+    rng = random.Random(13)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"):
+        made = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(100)]
+        assert sum(secrets.discoveries([t])[0] for t in made) >= 95, alphabet
+    words = ["donaudampfschifffahrtsgesellschaft", "pneumonoultramicroscopicsilicovolcanoconiosis", "UNCHARACTERISTICALLYLONG", "ACGTTGCAACGTGGCATCGATCGGATTACAGCTA", "01234567890123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "-" * 60]
+    assert not any(secrets.discoveries([w])[0] for w in words)
+
+
 def test_redaction_leaves_no_span_and_keeps_rows(spark, sf):
     text = "a token=abcdef0123456789abcdef0123456789 b " + "Zq3kP9xLw0Rt7VbN2mYc5HdJ8sGf1TaE4uQi6Xo"
     assert secrets.redact(text).startswith("a [SECRET] b") and "abcdef0123" not in secrets.redact(text)
