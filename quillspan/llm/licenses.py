@@ -74,6 +74,14 @@ def places(data: bytes, what: bytes) -> Iterator[int]:
         at = data.find(what, at + 1)
 
 
+def matches(pattern: regex.Pattern, data: bytes, start: int, end: int, least: int) -> Iterator[regex.Match]:
+    """All matches in order: the best of a stretch hides no earlier one with more edits."""
+    while end - start >= least and (m := pattern.search(data, start, end)):
+        yield from matches(pattern, data, start, m.start(), least)
+        yield m
+        start = m.end()
+
+
 def words_of(texts: list[str]) -> tuple[bytes, np.ndarray]:
     """The words of all texts with one space after each, a line end after each text; words per text."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -136,7 +144,7 @@ def scan(texts: list[str]) -> Iterator[dict]:
             else:
                 merged.append([a, e])
         for a, e in merged:
-            for m in pattern.finditer(data, a, e):
+            for m in matches(pattern, data, a, e, length - k):
                 if b"\n" in m[0]:
                     continue
                 text, first = where(m.start())

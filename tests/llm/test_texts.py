@@ -272,6 +272,13 @@ def test_edited_notices_are_found():
     assert not list(licenses.scan(["all rights\x00", "reserved"]))[0]["notices"]
 
 
+def test_an_edited_notice_before_a_better_one_is_found():
+    exact, edited = "released under the mit license", "released undr the mit license"
+    for text, errors in ((f"{edited} {exact}", [1, 0]), (f"{exact} {edited}", [0, 1]), (f"{edited} {edited} {exact} {edited}", [1, 1, 0, 1])):
+        got = list(licenses.scan(["x " + text + " y"]))[0]["notices"]
+        assert [(x[0], x[1], x[3]) for x in got] == [(1 + 5 * i, 6 + 5 * i, k) for i, k in enumerate(errors)], text
+
+
 def test_every_bounded_edit_keeps_a_seed():
     rng = random.Random(2)
     for notice, _ in licenses.NOTICES:
