@@ -27,7 +27,7 @@ def word_count(text: Column) -> Column:
 
 def symbol_quality(text: Column) -> Column:
     """Share of characters that are no symbols, 0.1 at least; 1 for null or empty texts."""
-    share = F.length(F.translate(text, SYMBOLS, "")) / F.length(text)
+    share = F.try_divide(F.length(F.translate(text, SYMBOLS, "")), F.length(text))
     return F.greatest(F.lit(0.1), F.coalesce(share, F.lit(1.0)))
 
 
@@ -54,19 +54,23 @@ def targets(sizes: DataFrame, weights: Column | None = None, limit: float = 3.0)
     return filled.select("nil", "source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.least("most", share)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: Column | None = None, quality: Column | None = None, weights: Column | None = None, limit: float = 3.0, seed: str = "mix-1", key_buckets: int = 4096, out: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: Column | None = None, quality: Column | None = None, weights: Column | None = None, limit: float = 3.0, seed: str = "mix-1", key_buckets: int = 4096, stand_in: Column | None = None, out: str = "mix") -> DataFrame:
     """``docs`` with a struct ``out``: size, source_size, target, copies, taken.
 
-    Nulls: a null text has size 0, a null source is a source of its own, a null id is hashed as
-    such.  Documents without words are taken with 0 words.  Repeated rows have equal keys and
-    each counts.  An empty table gives an empty result.  A column that is already called ``out``
-    raises ValueError; all other columns pass, whatever their names.
+    Nulls: a null text has size 0 and a null source is a source of its own.  Empty texts, and texts
+    without words, are taken with 0 words.  Very long texts are measured whole.  A row without an id
+    is known by ``stand_in`` (its text's hash, where ``text`` is a column), so that such rows do not
+    share one key.  Repeated rows have equal keys and each counts; ties of keys go by id, then size.
+    An empty table gives an empty result.  A column that is already called ``out`` raises ValueError;
+    all other columns pass, whatever their names.
     """
     if out in docs.columns:
         raise ValueError(f"column {out!r} is there already")
     size = word_count(F.col(text)) if size is None else size
     quality = symbol_quality(F.col(text)) if quality is None else quality
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(source), F.lit(""))))
+    stand_in = stand_in if stand_in is not None else F.md5(F.col(text)) if text in docs.columns else F.lit(None)
+    named = F.coalesce(F.col(doc_id).cast("string"), stand_in, F.lit("null"))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), named, F.coalesce(F.col(source), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
     key = -F.log(u) / quality
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(source).isNull().cast("int").alias("nil"), F.col(doc_id).alias("id"), size.alias("size"), key.alias("key"))
@@ -87,7 +91,13 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
 
 
 def repeated(mixed: DataFrame, out: str = "mix") -> DataFrame:
-    """The mix itself: each document as often as it is taken, without the struct."""
+    """The mix itself: each document as often as it is taken, without the struct.
+
+    Rows, nulls and texts pass as they are; an empty table stays empty.  A column that is already
+    called ``__copy`` raises ValueError.
+    """
+    if "__copy" in mixed.columns:
+        raise ValueError("column '__copy' is there already")
     columns = [c for c in mixed.columns if c != out]
     times = F.explode(F.sequence(F.lit(1), F.col(f"{out}.copies").cast("int")))
     return mixed.where(F.col(f"{out}.copies") > 0).select(*[F.col(f"`{c}`") for c in columns], times.alias("__copy")).drop("__copy")
@@ -95,8 +105,8 @@ def repeated(mixed: DataFrame, out: str = "mix") -> DataFrame:
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    measured = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), symbol_quality(F.col("text")).alias("quality"))
-    return mix_sources(measured, size=F.col("words"), quality=F.col("quality")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "source", "mix.copies")
+    measured = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), symbol_quality(F.col("text")).alias("quality"), F.when(F.col("doc_id").isNull(), F.md5("text")).alias("stand_in"))
+    return mix_sources(measured, size=F.col("words"), quality=F.col("quality"), stand_in=F.col("stand_in")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "source", "mix.copies")
 
 
 #: The same without buckets: whole sources ordered by key.
@@ -104,7 +114,7 @@ OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          greatest(0.1, coalesce(CASE WHEN length(text) > 0 THEN length(translate(text, '#*$%&|<>', ''))::DOUBLE / length(text) END, 1.0)) AS q,
-         (('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+         (('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, md5(text), 'null'), coalesce(source, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / q AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM k GROUP BY source),

@@ -402,9 +402,39 @@ def test_mix(spark):
 
 
 def test_better_documents_come_first(spark):
+    """Weights 1 and 5/8, half of the words taken: of keys below t, 1 - exp(-t) and 1 - exp(-5t/8) of each kind."""
     docs = spark.createDataFrame([(i, "w " * 10 + ("# " * 30 if i % 2 else "a " * 30), "ab"[i % 4 // 2]) for i in range(2000)], "doc_id long, text string, source string")
     taken = mixing.mix_sources(docs, weights=mixing.F.when(mixing.F.col("source") == "a", 1.0).otherwise(3.0)).where("source = 'a' AND mix.copies > 0").collect()
-    assert sum(r["doc_id"] % 2 == 0 for r in taken) > 0.6 * len(taken)
+    low, high = 0.0, 5.0
+    for _ in range(60):
+        t = (low + high) / 2
+        low, high = (t, high) if (1 - np.exp(-t)) + (1 - np.exp(-0.625 * t)) < 1 else (low, t)
+    share = 1 - np.exp(-t)
+    # either kind's count is binomial, and their sum is held: half the variance
+    error = np.sqrt(500 * share * (1 - share) / 2)
+    better = sum(r["doc_id"] % 2 == 0 for r in taken)
+    assert len(taken) == 500 and abs(better - 500 * share) <= 3 * error and better > 250 + 3 * error
+
+
+def test_mix_of_awkward_texts(spark, sf):
+    """Null, empty, white-space and very long texts, and rows without ids, in op1's own path and the general one."""
+    texts = [None, "", " \n\t", LONG, "#" * 50, "a b"] * 20
+    docs = spark.createDataFrame([(i if i % 3 else None, t, None if i % 4 else "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    out = [r["mix"] for r in mixing.mix_sources(docs).collect()]
+    assert len(out) == len(texts) and {m["size"] for m in out} == {0, len(LONG.split()), 1, 2}
+    assert all(m["taken"] <= 3 * m["size"] for m in out)
+    found = rows(mixing.op1_mix_sources(spark, sf))
+    held = texts_of(spark, sf)
+    assert {r["doc_id"]: r["size"] for r in found} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in held.items()}
+    assert len(found) == len(held)
+
+
+def test_rows_without_ids_get_keys_of_their_own(spark):
+    docs = spark.createDataFrame([(None, f"w{i} x", "s") for i in range(400)] + [(i, "w x", "t") for i in range(400)], "doc_id long, text string, source string")
+    taken = mixing.mix_sources(docs).where("source = 's'").groupBy("mix.copies").count().collect()
+    assert sum(r["count"] for r in taken) == 400 and len(taken) == 2
+    with pytest.raises(ValueError):
+        mixing.repeated(mixing.mix_sources(docs.withColumn("__copy", mixing.F.lit(1))))
 
 
 def test_mix_runs_no_python(spark, sf):
