@@ -37,20 +37,45 @@ SEQUENCE, BATCH_SEQUENCES = 2048, 256
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 
+class _WholeTexts:
+    """For tokenizers whose added tokens reach into the text beside them: no units."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*found, np.empty(0, np.uint32)]), np.fromiter(map(len, found), np.int64, len(found))
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> UnitCache:
+def _encoder(path: str, special_as_text: bool = False) -> UnitCache | _WholeTexts:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     tokenizer.no_padding()
     tokenizer.no_truncation()
 
+    # the library takes added tokens out of a text first, the longest of those that begin at a place,
+    # and encodes what lies between them alone
+    added = [t for t in tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+    if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added):
+        return _WholeTexts(tokenizer)
+    marks = {t.content for t in added}
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")") if marks else None
+
+    def split(text: str) -> list[str]:
+        if cut is None or not any(m in text for m in marks):
+            return UNIT.findall(text)
+        parts = cut.split(text)
+        return [u for i, part in enumerate(parts) for u in ([part] if i % 2 else UNIT.findall(part))]
+
     line_end = tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def encode_new(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units without inner white space go through as lines of longer strings, the others alone."""
-        plain = np.fromiter((PLAIN.fullmatch(u) is not None for u in units), bool, len(units))
+        plain = np.fromiter((u not in marks and PLAIN.fullmatch(u) is not None for u in units), bool, len(units))
         lines, others = [u for u, p in zip(units, plain) if p], [u for u, p in zip(units, plain) if not p]
         blocks = ["\n".join(lines[i : i + 2000]) + "\n" for i in range(0, len(lines), 2000)]
         ids = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(blocks, add_special_tokens=False)]
@@ -66,15 +91,19 @@ def _encoder(path: str) -> UnitCache:
         flat[~in_line] = np.array([i for x in other_ids for i in x], np.uint32)
         return flat, counts
 
-    return UnitCache(UNIT.findall, encode_new, max_units=1_000_000)
+    return UnitCache(split, encode_new, max_units=1_000_000)
 
 
-def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and how many each has, as the library encodes them whole."""
+def encode_texts(path: str, texts: list[str], special_as_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and how many each has, as the library encodes them whole.
+
+    A special token's string in a text becomes the token, as it does in the library; with
+    ``special_as_text`` it is ordinary text.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return _encoder(path).ids(texts)
+    return _encoder(path, special_as_text).ids(texts)
 
 
 class _Writer:
@@ -123,11 +152,13 @@ class _Writer:
             self.fs.move(self._temporary(suffix), self.stem + suffix)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int, end_id: int = 0, sequence: int = SEQUENCE, batch_sequences: int = BATCH_SEQUENCES, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int, end_id: int = 0, sequence: int = SEQUENCE, batch_sequences: int = BATCH_SEQUENCES, doc_id: str = "doc_id", text: str = "text", parts: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Encode ``docs`` and write them under ``path`` (a URI that all executors reach); gives the manifest.
 
-    Null texts are empty and get the end id alone; null ids come first.  An empty table gives an
-    empty manifest.  Other columns, whatever their names, are not read.
+    Null texts are empty and get the end id alone; null ids come first.  Rows with equal ids follow
+    each other by their text's hash; equal rows are written each.  Very long texts are encoded whole.
+    An empty table gives an empty manifest.  Other columns, whatever their names, are not read.
+    ``special_as_text``: see :func:`encode_texts`.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -144,7 +175,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, vocabulary:
         writer = None
         for rows, texts in row_groups(batches, "text"):
             writer = writer or _Writer(fs, f"{folder}/part-{part:06d}", dtype, sequence, batch_sequences)
-            ids, counts = encode_texts(tokenizer, texts)
+            ids, counts = encode_texts(tokenizer, texts, special_as_text)
             ends = np.cumsum(counts)
             writer.add(rows.column("doc_id"), np.insert(ids, ends, end_id), counts + 1)
         if writer:

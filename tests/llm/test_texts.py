@@ -96,19 +96,38 @@ def test_encode_pieces_keeps_columns(spark, sf):
 # ---- token files ----------------------------------------------------------------------------
 
 
-def library(texts):
+def library(texts, **switches):
+    """The untouched library, whole texts."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    for name, value in switches.items():
+        setattr(t, name, value)
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_units_encode_like_whole_texts():
-    texts = [t or "" for t in AWKWARD] + random_texts(3000, 5) + ["it's  a   b", "a\t\tb \n c", "\n\n x", "don't do"]
-    flat, counts = token_binary.encode_texts(P.path("byte_bpe_50k.json"), texts)
-    for text, got, want in zip(texts, np.split(flat, np.cumsum(counts)[:-1]), library(texts)):
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "mid<|endoftext|>word", "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n\nb", "\n<|endoftext|>\n", "<|endoftext|", "<<|endoftext|>>", " <|endoftext|>\t x<|endoftext|>"]
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_units_encode_like_whole_texts(as_text):
+    texts = [t or "" for t in AWKWARD] + SPECIAL + random_texts(3000, 5) + ["it's  a   b", "a\t\tb \n c", "\n\n x", "don't do"]
+    flat, counts = token_binary.encode_texts(P.path("byte_bpe_50k.json"), texts, as_text)
+    assert len(counts) == len(texts)
+    for text, got, want in zip(texts, np.split(flat, np.cumsum(counts)[:-1]), library(texts, encode_special_tokens=True) if as_text else library(texts)):
         assert got.tolist() == want, text[:50]
+    assert (50256 in flat) is not as_text
+
+
+def test_tokens_that_reach_beside_them_take_whole_texts(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.add_tokens([AddedToken("[cut]", lstrip=True, rstrip=True)])
+    t.save(path := f"{tmp_path}/reaching.json")
+    texts = ["a  [cut]  b", "x[cut]", "", "<|endoftext|> [cut]\n", *random_texts(100, 7)]
+    flat, counts = token_binary.encode_texts(path, texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_op2(spark, sf, empty):
