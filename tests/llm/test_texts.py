@@ -309,9 +309,65 @@ def test_every_bounded_edit_keeps_a_seed():
             assert any(s in "".join(chars).encode() for _, s in licenses.seeds(notice))
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_notices(text):
+    """Label: fewest errors over all runs of words; no seeds, no windows, no regex library."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    out = {}
+    for notice, label in licenses.NOTICES:
+        n, k = len(notice.encode()), max(1, len(notice.encode()) // 20)
+        for i in range(len(words)):
+            run = b""
+            for word in words[i:]:
+                run += (b" " if run else b"") + word.encode()
+                if len(run) > n + k:
+                    break
+                if len(run) >= n - k and (d := distance(run, notice.encode())) <= k:
+                    out[label] = min(out.get(label, (9, 0.0)), (d, 1 - d / n))
+    return out
+
+
+def test_notices_equal_the_plain_search():
+    rng = random.Random(14)
+    made = []
+    for notice, _ in licenses.NOTICES:
+        k = licenses.edits(notice)
+        for n in (0, 1, k, k + 1, k + 2):  # k + 1: one edit too many, mostly
+            chars = list(notice)
+            for _ in range(n):
+                at = rng.randrange(len(chars))
+                chars[at : at + 1] = rng.choice([[], ["q"], [chars[at], "q"], [" ", chars[at]]])
+            body = "".join(chars)
+            made += [body, "w " + body, body + " w", "w" + body, body + "ly", f"a {body}\n{body} b"]
+    made += ["all rights reservedly", "all rights reserved", "all rights reserv", "all rights", "reserved", "released under the mit licens", "e x", "", " ", "all  RIGHTS, reserved!"]
+    rng.shuffle(made)
+    for text, got in zip(made, licenses.scan(made), strict=True):
+        want = plain_notices(text)
+        best = {}
+        for _, _, label, errors, length in got["notices"]:
+            best[label] = min(best.get(label, (9, 0.0)), (errors, 1 - errors / length))
+        assert {x: e for x, (e, _) in best.items()} == {x: e for x, (e, _) in want.items()}, text
+        assert got["base"] or licenses.score([], got["notices"]) == pytest.approx(max((s for _, s in want.values()), default=0.0), abs=0.02), text
+
+
+def test_score_is_of_the_matched_notice():
+    got = list(licenses.scan(["x released under the mit licens y"]))[0]
+    assert got["base"] == [] and licenses.score([], got["notices"]) == pytest.approx(1 - 1 / 30)
+
+
 def test_op7(spark, sf, empty):
     texts = texts_of(spark, sf)
-    for r in rows(licenses.op7_license_scan(spark, sf)):
+    found = rows(licenses.op7_license_scan(spark, sf))
+    assert [r["doc_id"] for r in found] == sorted(texts)
+    for r in found:
         n, found = plain_places(texts[r["doc_id"]])
         at = [w for w, _ in found]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (n, len(found), min(at, default=None), max(at, default=None))
