@@ -14,10 +14,15 @@ Three tests are made:
 They ask whether the token departs from randomness; one that does (p below ``DEPART``) is no
 secret.  The discovery p-value says how likely language comes as close to uniform symbols: the
 likelihood ratio of the token's symbol pairs under a model of words, names, paths and numbers
-(``language_p``).  Benjamini-Hochberg over the tested candidates of one document decides, with
-weights in proportion to candidate length (mean 1), so long tokens, whose tests have the power, get
-more of the error budget.  Runs that are not tested do not count.  A document's
-verdicts do not depend on other documents.
+(``language_p``).  Benjamini-Hochberg decides, with weights in proportion to candidate length (mean
+1), so long tokens, whose tests have the power, get more of the error budget.  Runs that are not
+tested do not count.
+
+The family is every tested candidate of the whole table: ``RATE`` bounds the expected share of false
+finds among all finds in it.  A first pass over all texts counts the candidates by their weighted
+p-value in bins of a 64th of a natural logarithm, with their number and lengths; that histogram, of
+bounded size, gives the cut (``table_cut``), and the second pass takes what lies below it.  A single
+text without a cut is a family of its own.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import row_groups
@@ -46,6 +52,8 @@ SHORTEST = 20
 #: '=' is in no alphabet: it ends a token (padding, or a name before its value).
 PART = re.compile(r"[A-Za-z0-9+/_-]+=*")
 DEPART, RATE = 1e-3, 0.01
+#: Bins of a weighted p-value to a natural logarithm, and the last bin (smaller values fall into it).
+BINS, LAST_BIN = 64, 64 * 200
 #: Share of the language's characters that follow no rule (codes, abbreviations, rare words).
 OTHER = 0.05
 #: In the language, the class of a character by the class of the one before: digit, lower, upper, other.
@@ -175,19 +183,39 @@ def battery(token: str, encoding: str) -> dict[str, float]:
     return {"language": language_p(body, encoding), "uniform": uniform, "runs": runs_p, "serial": serial_p}
 
 
-def discoveries(tokens: list[str], rate: float = RATE) -> list[bool]:
-    """Which of one document's candidates are random: length-weighted Benjamini-Hochberg over those tested."""
-    tested = [(i, token, encoding) for i, token in enumerate(tokens) if (encoding := encoding_of(token))]
-    mean = sum(len(token) for _, token, _ in tested) / len(tested) if tested else 1
-    found = []
-    for i, token, encoding in tested:
-        p = battery(token, encoding)
-        if min(p["uniform"], p["runs"], p["serial"]) >= DEPART:
-            found.append((p["language"] * mean / len(token), i))
-    found.sort()
-    cut = max((k for k, (p, _) in enumerate(found, 1) if p <= rate * k / len(tested)), default=0)
-    chosen = {i for _, i in found[:cut]}
-    return [i in chosen for i in range(len(tokens))]
+def graded(token: str) -> tuple[int, float] | None:
+    """Length of a tested token and its p-value over its length (infinite if it departs from randomness); else None."""
+    encoding = encoding_of(token)
+    if encoding is None:
+        return None
+    p = battery(token, encoding)
+    random = min(p["uniform"], p["runs"], p["serial"]) >= DEPART
+    return len(token), p["language"] / len(token) if random else math.inf
+
+
+def bin_of(weighted: float) -> int:
+    """Bin of a p-value over its length, the larger the smaller the value; -1 for infinite ones."""
+    return -1 if weighted == math.inf else LAST_BIN if weighted <= 0 else min(LAST_BIN, max(0, math.floor(-BINS * math.log(weighted))))
+
+
+def cut_of(histogram: dict[int, int], tested: int, characters: int, rate: float = RATE) -> int:
+    """The smallest bin that is found, by Benjamini-Hochberg over the bins' upper edges; past the last one if none is."""
+    cut, found = LAST_BIN + 1, 0
+    for b in sorted((b for b in histogram if b >= 0), reverse=True):
+        found += histogram[b]
+        if math.exp(-b / BINS) * characters / tested <= rate * found / tested:
+            cut = b
+    return cut
+
+
+def discoveries(tokens: list[str], rate: float = RATE, cut: int | None = None) -> list[bool]:
+    """Which tokens are random: below the ``cut`` of their family, or else as a family of their own."""
+    grades = [graded(token) for token in tokens]
+    bins = [g and bin_of(g[1]) for g in grades]
+    if cut is None:
+        tested = [g for g in grades if g]
+        cut = cut_of(Counter(b for b in bins if b is not None), len(tested), sum(n for n, _ in tested), rate)
+    return [b is not None and b >= cut for b in bins]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -201,8 +229,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def random_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates outside the base spans that pass the battery."""
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[re.Match]:
+    """Tokens to test, outside the base spans."""
     # longest reach of base spans that begin before a place, to test for overlap in one pass
     found, reach, k = [], -1, 0
     runs = (m for run in CANDIDATE.finditer(text) for m in PART.finditer(text, *run.span()) if len(m[0]) >= SHORTEST)
@@ -211,16 +239,44 @@ def random_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             reach, k = max(reach, base[k][1]), k + 1
         if reach <= m.start():
             found.append(m)
-    keep = discoveries([m[0] for m in found]) if found else []
+    return found
+
+
+def random_spans(text: str, base: list[tuple[int, int, str]], cut: int | None = None) -> list[tuple[int, int, str]]:
+    """Candidates that pass the battery."""
+    found = candidates(text, base)
+    keep = discoveries([m[0] for m in found], cut=cut) if found else []
     return [(m.start(), m.end(), "random") for m, yes in zip(found, keep) if yes]
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan(text: str, cut: int | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Base spans, and all spans by start, then kind."""
     base = base_spans(text)
-    extra = random_spans(text, base)
+    extra = random_spans(text, base, cut)
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def table_cut(docs: DataFrame, text: str = "text", rate: float = RATE) -> int:
+    """The bin from which on candidates of ``docs`` are found; one pass over all texts.
+
+    What reaches the driver is a histogram of at most ``LAST_BIN`` + 2 bins, whatever the table's size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, characters = Counter(), Counter()
+        for _, texts in row_groups(batches, text):
+            for t in texts:
+                for m in candidates(t, base_spans(t)):
+                    if grade := graded(m[0]):
+                        b = bin_of(grade[1])
+                        counts[b] += 1
+                        characters[b] += grade[0]
+        yield pa.record_batch([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64()), pa.array([characters[b] for b in counts], pa.int64())], names=["bin", "n", "characters"])
+
+    found = docs.select(text).mapInArrow(run, "bin int, n long, characters long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("characters").alias("characters")).collect()
+    return cut_of({r["bin"]: r["n"] for r in found}, sum(r["n"] for r in found), sum(r["characters"] for r in found), rate)
+
+
 def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
@@ -231,24 +287,28 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 def secret_spans(docs: DataFrame, *, text: str = "text", out: str = "secrets") -> DataFrame:
     """``docs`` with an array of structs kind, start, end (code points, end exclusive).
 
-    Null and empty texts have none.  Raises ValueError where ``out`` is a column already.
+    Null and empty texts have none; very long ones are scanned whole.  Equal rows get equal spans and
+    count each in the family.  An empty table gives an empty result.  Raises ValueError where ``out``
+    is a column already; other columns pass, whatever their names.  The texts are read once before the
+    result is made, for the cut.
     """
     if out in docs.columns:
         raise ValueError(f"column {out!r} is there already")
+    cut = table_cut(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for rows, texts in row_groups(batches, text):
-            found = [[{"kind": k, "start": s, "end": e} for s, e, k in scan(t)[1]] for t in texts]
+            found = [[{"kind": k, "start": s, "end": e} for s, e, k in scan(t, cut)[1]] for t in texts]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, kind)], names=[*rows.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, SPAN)]))
 
 
-def redact(text: str, mark: str = "[SECRET]") -> str:
+def redact(text: str, mark: str = "[SECRET]", cut: int | None = None) -> str:
     """``text`` with every span, overlapping ones together, replaced by ``mark``."""
     out, at = [], 0
-    spans = scan(text)[1]
+    spans = scan(text, cut)[1]
     i = 0
     while i < len(spans):
         start, end = spans[i][:2]
@@ -262,14 +322,16 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 def redacted(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets replaced; ``length``, where it is a column, follows in changed rows.
 
-    Rows, null texts and all other columns stay as they are.
+    Rows, null and empty texts and all other columns, whatever their names, stay as they are; very long
+    texts are scanned whole, equal rows change alike, an empty table stays empty.  The texts are read
+    once before the result is made, for the cut.
     """
-    schema = docs.schema
+    schema, cut = docs.schema, table_cut(docs, text)
     length = length if length in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in row_groups(batches, text):
-            new = [redact(t, mark) for t in texts]
+            new = [redact(t, mark, cut) for t in texts]
             changed = [a != b for a, b in zip(texts, new)]
             if any(changed):
                 columns = dict(zip(rows.schema.names, rows.columns))
@@ -284,10 +346,11 @@ def redacted(docs: DataFrame, *, text: str = "text", length: str | None = "n_cha
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cut = table_cut(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in row_groups(batches, "text"):
-            found = [scan(t) for t in texts]
+            found = [scan(t, cut) for t in texts]
             counts = [[sum(s[2] == k for s in base) for base, _ in found] for k in KINDS[:3]]
             shas = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
             yield pa.record_batch([rows.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array([_joined(every) for _, every in found])], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])

@@ -1,6 +1,7 @@
 """Operators over texts against plain versions, with the awkward rows each must bear."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -249,9 +250,90 @@ def test_redaction_leaves_no_span_and_keeps_rows(spark, sf):
     assert out.where("n_chars <> length(text)").count() == 0
 
 
+def plain_battery(body, alphabet):
+    """Uniformity by an exact chi-squared tail, runs and serial correlation, by their textbook forms."""
+    n, size = len(body), len(alphabet)
+    kind = lambda c: "d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o"
+    cell = (lambda c: c) if n >= 4 * size else kind
+    share, seen = Counter(map(cell, alphabet)), Counter(map(cell, body))
+    chi, df = sum((seen[k] - n * v / size) ** 2 / (n * v / size) for k, v in share.items()), len(share) - 1
+    x = np.linspace(1e-9, np.sqrt(chi) if chi else 1e-9, 20_001)  # of the chi density
+    density = x ** (df - 1) * np.exp(-x * x / 2) / (2 ** (df / 2 - 1) * math.gamma(df / 2)) if df else x
+    uniform = 1 - np.trapezoid(density, x) if df else 1.0
+    v = np.array([alphabet.index(c) for c in body], float)
+    high = v > (size - 1) / 2
+    a, b = int(high.sum()), int((~high).sum())
+    runs = 2.0 ** (1 - n)
+    if a and b:
+        mean = 1 + 2 * a * b / n
+        z = abs(1 + int((high[1:] != high[:-1]).sum()) - mean) / np.sqrt((mean - 1) * (mean - 2) / (n - 1)) if mean > 2 else 0.0
+        runs = math.erfc(z / math.sqrt(2))
+    d = v - v.mean()
+    r = (d[1:] * d[:-1]).sum() / (d * d).sum() if d.any() else None
+    return uniform, runs, math.erfc(abs(r + 1 / n) * math.sqrt(n / 2)) if r is not None else 0.0
+
+
+def tokens_and_names(rng, names, randoms, least=20, most=44):
+    """Made names, paths and versions (False), and tokens of random symbols (True), at random lengths."""
+    parts = ["Session", "manager", "config", "http", "response", "index", "docs", "release", "2024", "v2", "Buffer", "table", "user", "id", "Handler", "test", "cache", "11", "policy", "Error"]
+    out = []
+    while len(out) < names:
+        name = "".join(rng.choice(parts) + rng.choice(["_", "-", "/", "", ""]) for _ in range(rng.randint(3, 9))) + str(rng.randint(0, 99))
+        if len(name) >= least:
+            out.append((name, False))
+    kinds = ["base62", "base36", "base64", "base64url", "base32"]
+    out += [("".join(rng.choice(secrets.ENCODINGS[kinds[k]]) for _ in range(rng.randint(least, most))), True) for k in (rng.randrange(5) for _ in range(randoms))]
+    rng.shuffle(out)
+    return out
+
+
+def test_battery_equals_the_textbook_forms():
+    rng = random.Random(31)
+    tested = 0
+    for token, _ in tokens_and_names(rng, 300, 300) + [("0123456789" * 12, True), ("ab" * 60, False), ("A" * 30, False)]:
+        encoding = secrets.encoding_of(token)
+        if encoding:
+            got, want = secrets.battery(token, encoding), plain_battery(token, secrets.ENCODINGS[encoding])
+            assert got["runs"] == pytest.approx(want[1], rel=1e-6, abs=1e-12) and got["serial"] == pytest.approx(want[2], rel=1e-6, abs=1e-12), token
+            assert got["uniform"] == pytest.approx(want[0], rel=0.15, abs=0.02), token  # cube-root approximation
+            tested += 1
+    assert tested > 350
+
+
+def plain_discoveries(tokens, rate):
+    """Benjamini-Hochberg as it is written: sorted p-values against a line, weights by length."""
+    graded = [(i, t, secrets.battery(t, e)) for i, t in enumerate(tokens) if (e := secrets.encoding_of(t))]
+    mean = sum(len(t) for _, t, _ in graded) / len(graded)
+    p = sorted(((b["language"] * mean / len(t) if min(b["uniform"], b["runs"], b["serial"]) >= secrets.DEPART else math.inf), i) for i, t, b in graded)
+    k = max((k for k, (x, _) in enumerate(p, 1) if x <= rate * k / len(graded)), default=0)
+    return {i for _, i in p[:k]}, {i for x, i in p if k and x <= p[k - 1][0] * math.exp(-2 / secrets.BINS)}
+
+
+def test_the_family_is_the_whole_table(spark, tmp_path):
+    """Spans of a table against the plain procedure over all of its candidates, and its false finds."""
+    rng = random.Random(32)
+    made = tokens_and_names(rng, 1500, 150)
+    texts = [" and ".join(t for t, _ in made[i : i + 3]) for i in range(0, len(made), 3)] + [None, "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {(r["doc_id"], s["start"], s["end"]) for r in secrets.secret_spans(docs).collect() for s in r["secrets"] if s["kind"] == "random"}
+    tokens = [(i, m) for i, t in enumerate(texts) for m in secrets.candidates(t or "", secrets.base_spans(t or ""))]
+    most, surely = plain_discoveries([m[0] for _, m in tokens], secrets.RATE)
+    where = lambda ks: {(tokens[k][0], tokens[k][1].start(), tokens[k][1].end()) for k in ks}
+    assert where(surely) <= spans <= where(most)  # a bin's width apart at most
+    real = {t for t, yes in made if yes}
+    found = [texts[i][s:e] for i, s, e in spans]
+    assert sum(t not in real for t in found) <= 0.03 * len(found) and sum(t in real for t in found) >= 120
+    out = rows(secrets.op4_secret_scan(spark, str(tmp_path)))
+    assert [r["doc_id"] for r in out] == list(range(len(texts)))
+    assert {(r["doc_id"], *map(int, s.split(":")[1:])) for r in out for s in r["spans"].split(",") if s.startswith("random")} == spans
+
+
 def test_op4(spark, sf, empty):
     texts = texts_of(spark, sf)
-    for r in rows(secrets.op4_secret_scan(spark, sf)):
+    found = rows(secrets.op4_secret_scan(spark, sf))
+    assert [r["doc_id"] for r in found] == sorted(texts)
+    for r in found:
         base = plain_base(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert set(base.split(",")) - {""} <= set(r["spans"].split(","))
@@ -417,7 +499,9 @@ def test_line_rules():
 
 def test_op8(spark, sf, empty):
     texts = texts_of(spark, sf)
-    for r in rows(quality.op8_quality_rules(spark, sf)):
+    found = rows(quality.op8_quality_rules(spark, sf))
+    assert [r["doc_id"] for r in found] == sorted(texts)
+    for r in found:
         want = plain_quality(texts[r["doc_id"]])
         assert {k: r[k] for k in want} == want
     assert quality.op8_quality_rules(spark, empty).count() == 0
