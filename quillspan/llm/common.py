@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -17,11 +18,13 @@ CHUNK_CHARS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver see, from ``spark.checkpoint.dir``.
 
-    A temporary folder is chosen only where the setting is absent, which is right
-    for a single machine (tests) and wrong for a cluster.
+    Where the setting is absent, a temporary folder is chosen if everything runs in one local process;
+    on a cluster that raises RuntimeError.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="quillspan-")
@@ -42,10 +45,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame | None) -> None:
+def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` once nothing reads it any more."""
-    if df is None:
-        return
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -23,8 +23,9 @@ def main_texts(model: BlockLabeller, pages: list[str]) -> list[str]:
 def with_main_text(pages: DataFrame, *, html: str = "html", out: str = "text", drop_html: bool = True) -> DataFrame:
     """``pages`` with the main text in ``out``; the page's source goes unless ``drop_html`` is False.
 
-    Null and empty html, and pages without an article, give an empty text.  Raises ValueError
-    where ``out`` is a column already.
+    Null and empty html, and pages without an article, give an empty text; very long pages are read
+    whole.  Equal pages give equal texts; an empty table gives an empty result.  Raises ValueError
+    where ``out`` is a column already; other columns pass, whatever their names.
     """
     if out in pages.columns:
         raise ValueError(f"column {out!r} is there already")

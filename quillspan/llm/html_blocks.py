@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: Elements that don't end a block.
@@ -21,6 +22,8 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
+#: Open elements of a block's path, the innermost; all are followed to know what an end tag closes.
+DEPTH = 256
 
 
 class Block(NamedTuple):
@@ -41,6 +44,7 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks in order, character references decoded, white space made one space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
     linked, in_link, at = 0, False, 0
     path: tuple[str, ...] = ()
@@ -54,6 +58,11 @@ def blocks(page: str) -> list[Block]:
             held.clear()
         linked = 0
 
+    def close() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
@@ -73,22 +82,21 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if m["end"] or m[0].startswith("</"):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened[name]:
+                while close() != name:
+                    pass
         elif name not in VOID:
             if name in SELF_CLOSING:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        del stack[k:]
+                        while len(stack) > k:
+                            close()
                         break
                     if stack[k][0] not in SELF_CLOSING:
                         break
             stack.append((name, _labels(name, m["rest"] or "")))
-            if len(stack) > 256:  # nesting that no real page has
-                del stack[128:192]
-        path = tuple(x for _, labels in stack for x in labels)
+            opened[name] += 1
+        path = tuple(x for _, labels in stack[-DEPTH:] for x in labels)
     if at < len(page):
         held.append(page[at:])
     flush()

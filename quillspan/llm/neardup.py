@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, row_groups, stored
@@ -216,9 +216,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
     """doc_id, n_shingles, component_id (smallest id reachable), kept, for every row of ``docs``.
 
     Links: ``den * intersection >= num * union`` of the sets of ``size``-word shingles.  Null, empty
-    and wordless texts have no shingles and are linked with nothing.  A null id has no component
-    and is kept.  Repeated rows each get their class's component; rows that share an id count as
-    one document with the links of any of them.  An empty table gives an empty result.
+    and wordless texts have no shingles and are linked with nothing; very long texts count whole.  A
+    null id has no component and is kept.  Repeated rows each get their class's component; rows that
+    share an id count as one document with the links of any of them.  An empty table gives an empty
+    result.  Other columns, whatever their names, are not read.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = stored(sketches(texts, size, bands, rows), "sketches")
@@ -234,9 +235,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
     links = stored(_verified(stars, sets, num, den), "links")
     found = stored(connected_components(links), "components")
     # what stars have left: buckets of three or more whose members are in different components
+    # a bucket of k members is dealt into as many parts as hold BLOCK of them each, so a hot one is many keys
+    parts = F.ceil(F.col("k") / BLOCK).cast("int")
     named = held.where("k > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    rest = stored(named.join(mixed, "bucket").select("id", "c", "component").distinct(), "rest")
+    named = named.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    in_parts = named.groupBy("bucket", "k", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = in_parts.groupBy("bucket", "k").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high")
+    mixed = mixed.select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rest = stored(named.join(mixed, ["bucket", "part"]).select("id", "c", "component").distinct(), "rest")
     if not rest.isEmpty():
         families = connected_components(rest.select(F.col("c").alias("u"), F.col("id").alias("v"))).toDF("id", "family")
         members = rest.select("id", "component").distinct().join(families, "id").join(classes.select("id", "fp", "n", "signature"), "id")
@@ -244,7 +250,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
         sizes = sizes.select("family", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         members = members.join(sizes, "family").join(sets, ["id", "fp"])
         extra = _left_over(members, num, den, bands * rows)
-        found = stored(connected_components(links.unionByName(extra)), "components")
+        before, found = found, stored(connected_components(links.unionByName(extra)), "components")
+        dropped(before)
+    for done in (held, sets, links, rest):  # the result reads sketches, classes and components alone
+        dropped(done)
     # a class passes its component on; the join's hot side is split by AQE
     named = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = table.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
@@ -254,17 +263,23 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 80, den: int =
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: its smallest id; repeated rows of that id count once.
+    """One document of each group: its smallest id; repeated rows of that id and text count once.
 
-    Documents without words or without an id all stay.
+    Rows of that id with other texts all stay.  Of rows with the same id and text, the one whose other
+    columns have the smallest hash stays (maps are not hashed).  Documents without words, or without
+    an id, all stay; an empty table stays empty.  Columns ``__nd_id``, ``__nd_text`` and ``__nd_nth``
+    raise ValueError; all other columns pass, whatever their names.
     """
-    if "__nd_kept" in docs.columns:
-        raise ValueError("column '__nd_kept' is there already")
-    key = options.get("doc_id", "doc_id")
+    if clash := {"__nd_id", "__nd_text", "__nd_nth"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    key, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     verdict = near_duplicates(docs, **options)
     kept = verdict.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__nd_id")).distinct()
-    wordless = ~F.coalesce(F.col(options.get("text", "text")), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one_each = docs.where(~wordless & F.col(key).isNotNull()).join(kept, F.col(key).cast("long") == F.col("__nd_id")).drop("__nd_id").dropDuplicates([key])
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(~wordless & F.col(key).isNotNull()).join(kept, F.col(key).cast("long") == F.col("__nd_id")).drop("__nd_id")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = Window.partitionBy(key, "__nd_text").orderBy(F.xxhash64(*hashed))
+    one_each = rows.withColumn("__nd_text", F.xxhash64(text)).withColumn("__nd_nth", F.row_number().over(order)).where("__nd_nth = 1").drop("__nd_text", "__nd_nth")
     return one_each.unionByName(docs.where(wordless | F.col(key).isNull()))
 
 

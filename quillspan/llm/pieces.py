@@ -255,8 +255,9 @@ def decode_ids(path: str, ids: list[int]) -> str:
 def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", out: str = "piece_ids") -> DataFrame:
     """``docs`` with an array of ids.
 
-    Null and empty texts give no ids; a table without rows gives none.  A column already called
-    ``out`` raises ValueError, all other names are left alone.
+    Null and empty texts give no ids, very long ones are encoded whole, equal ones alike; a table
+    without rows gives none.  A column already called ``out`` raises ValueError, all other names are
+    left alone.
     """
     if out in docs.columns:
         raise ValueError(f"column {out!r} is there already")
@@ -274,7 +275,11 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", out: str =
 
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document (null text: empty)."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
+
+    A null text counts as empty and has no ids; very long texts are encoded whole.  Repeated rows and
+    ids give a row each; an empty table gives an empty result.  Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in row_groups(batches, "text"):

@@ -101,7 +101,11 @@ FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def quality_figures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the figures of every document; null and empty texts have no words and fail."""
+    """doc_id and the figures of every document.
+
+    Null and empty texts have no words and fail; very long ones are judged whole.  Repeated rows and
+    ids give a row each, null ids too; an empty table gives an empty result.  Other columns are not read.
+    """
     names = [f.split()[0] for f in FIGURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +120,8 @@ def quality_figures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def cleaned(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents that are kept, without their failing lines; ``length`` follows where it is a column.
 
-    All columns stay, whatever their names; rejected documents (null texts among them) go.
+    All columns stay, whatever their names; rejected documents (null, empty and wordless texts among
+    them) go.  Very long texts are judged whole, repeated rows alike; an empty table stays empty.
     """
     length = length if length in docs.columns else None
 

@@ -219,3 +219,31 @@ def test_pipeline(spark, tmp_path):
     assert set(mixed) <= left and max(map(mixed.count, set(mixed))) <= 3
     assert sorted(r["doc_id"] for r in steps[5].collect()) == sorted(mixed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mixed)
+
+
+def test_rows_that_share_an_id(spark):
+    """Of an id that is kept: a row for each text, the same one in every run; other ids as ever."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "b"), (1, long, "a"), (1, "quite another text of a few words here", "c"), (2, long + " more", "d"), (3, "", "e"), (3, "", "e"), (None, long, "f"), (4, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    first, second = (sorted(map(str, neardup.deduplicated(d).collect())) for d in (docs, docs.repartition(5).orderBy(F.desc("fp"))))
+    assert first == second and len(first) == 6
+    kept = neardup.deduplicated(docs).where("doc_id = 1").collect()
+    assert {r["text"] for r in kept} == {long, rows[2][1]}
+    assert neardup.deduplicated(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        neardup.deduplicated(docs.withColumnRenamed("fp", "__nd_id"))
+
+
+def test_hot_buckets_are_dealt_into_parts(spark, monkeypatch):
+    """A bucket of many members, dealt into parts of two, gives what one part does; working tables go."""
+    from quillspan.llm import common
+
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows = list(enumerate(family(rng, words, 40, 9) + family(rng, words, 20, 14)))
+    got = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, num=85, den=100).collect()), key=str)
+    assert got == brute(rows, 3, 85, 100)
+    folder = common.shared_dir(spark).removeprefix("file://")
+    assert not [p for p in __import__("os").listdir(folder) if p.split("-")[0] in ("buckets", "links", "rest", "sets")]
