@@ -150,3 +150,83 @@ def test_op5(spark, tmp_path):
     assert extract.with_main_text(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
         extract.with_main_text(pages, out="url")
+
+
+def plain_article(page):
+    """Text of the ``article`` element by the standard library's parser: blocks, one space, one line each."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = False, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside = True
+            if tag == "br":
+                self.blocks[-1].append(" ")
+            elif tag not in html_blocks.INLINE:
+                self.blocks.append([])
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = False
+            if tag not in html_blocks.INLINE:
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1].append(data)
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    return "\n".join(t for t in (" ".join("".join(b).split()) for b in reader.blocks) if t)
+
+
+def test_pages_of_the_driver_equal_a_plain_parser(spark):
+    folder = "/root/testdata/sf0.01"
+    if not __import__("os").path.isdir(folder):
+        pytest.skip("no driver tables here")
+    want = {r["page_id"]: plain_article(r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in extract.op5_html_extract(spark, folder).collect()}
+    assert got.keys() == want.keys()
+    wrong = [i for i in want if got[i]["text"] != want[i] or got[i]["n_chars"] != len(want[i])]
+    assert len(wrong) <= 0.01 * len(want), wrong[:5]
+
+
+HAND_MADE = [
+    (
+        '<body><div id="header"><a href="/">Site</a> <a href="/n">News</a> <a href="/s">Sport</a></div><div class="content"><h2>A quiet harbour</h2>'
+        "<p>The boats came in before dusk, and nobody on the quay spoke of the storm.</p><p>By morning the nets were mended, the ropes were dry, and the town went back to its work.</p></div>"
+        '<div class="sidebar"><ul><li><a href="/1">Most read</a></li><li><a href="/2">Weather</a></li></ul></div><div id="footer">&copy; 2024 Harbour Press. All rights reserved.</div></body>',
+        "A quiet harbour\nThe boats came in before dusk, and nobody on the quay spoke of the storm.\nBy morning the nets were mended, the ropes were dry, and the town went back to its work.",
+    ),
+    (
+        '<main><nav class="breadcrumb"><a href="/">Home</a> / <a href="/g">Garden</a></nav><article><h1>Pruning an old pear</h1><p>Wait for a dry day late in winter, when the buds are still closed &amp; the wood is hard.</p>'
+        "<p>Cut above a bud that looks outwards. Take away no more than a third of the crown in one year.</p></article>"
+        '<section class="comments"><h3>Comments</h3><p>Great post, thanks!</p><p>Reply</p></section><form action="/s"><label>Subscribe</label><input name="m"></form></main>',
+        "Pruning an old pear\nWait for a dry day late in winter, when the buds are still closed & the wood is hard.\nCut above a bud that looks outwards. Take away no more than a third of the crown in one year.",
+    ),
+    ('<nav><a href="/a">Home</a><a href="/b">About</a></nav><footer>Imprint</footer>', ""),
+]
+
+
+def test_hand_made_pages():
+    """Layouts that no generator made: blocks right, of all blocks in them."""
+    got = extract.main_texts(html_model.trained(), [p for p, _ in HAND_MADE])
+    right = total = 0
+    for (page, want), text in zip(HAND_MADE, got, strict=True):
+        blocks = [b.text for b in html_blocks.blocks(page)]
+        chosen, wanted = text.split("\n"), want.split("\n")
+        right += sum((b in chosen) == (b in wanted) for b in blocks)
+        total += len(blocks)
+    assert right >= 0.9 * total, got
+
+
+def test_deep_nesting_keeps_its_end_tags():
+    page = "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<section><p>after</p></section>"
+    found = html_blocks.blocks(page)
+    assert [b.text for b in found] == ["deep", "after"] and found[1].path == ("section", "p")
+    assert len(found[0].path) == html_blocks.DEPTH
