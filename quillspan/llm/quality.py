@@ -2,7 +2,8 @@
 
 A line with words fails for one of three reasons:
 
-* punctuation: no closing punctuation at its end (nor, in a long line, between sentences), or symbols make up more than a twentieth of it,
+* punctuation: no closing punctuation at its end (nor, in a long line, between sentences; a line of some
+  length that goes on in lower case in the next one needs none), or symbols make up more than a twentieth of it,
   or it shouts (a third of its words end in doubled exclamation marks);
 * navigation: three or more menu separators;
 * boilerplate: a line that stood before, or a short line with a site's stock phrase.
@@ -25,7 +26,10 @@ from .common import row_groups
 
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
-CLOSING = ".!?…。！？:;\"'”’»)]}"
+#: What may close a line: of Latin, CJK, Indic, Arabic, Armenian, Ethiopic and Khmer texts.
+CLOSING = ".!?…。！？:;\"'”’»)]}」』।॥؟۔؛։።៖"
+#: A line of so many characters whose next line begins in lower case goes on there (hard-wrapped prose).
+WRAPPED = 40
 SEPARATORS = "|›»•·"
 #: Stock phrases of sites, in lower case.
 STOCK = ("cookie", "javascript", "click here", "sign in", "log in", "subscribe", "newsletter", "terms of use", "privacy policy", "skip to content", "read more", "share this", "lorem ipsum")
@@ -34,12 +38,15 @@ SENTENCE, LONG = re.compile(r"[.!?。] "), 200
 STOCK_WORDS, MOST_SYMBOLS, MENU, MOST_LOST = 12, 0.05, 3, 0.5
 
 
-def failure(line: str) -> str | None:
-    """Why a line with words fails, apart from having stood before; None if it doesn't."""
+def failure(line: str, after: str = "") -> str | None:
+    """Why a line with words fails, apart from having stood before; None if it doesn't.
+
+    ``after`` is the line that follows at once.
+    """
     body = line.strip(SPACE)
     if sum(map(body.count, SEPARATORS)) >= MENU:
         return "navigation"
-    prose = body[-1] in CLOSING or len(body) >= LONG and SENTENCE.search(body)
+    prose = body[-1] in CLOSING or len(body) >= LONG and SENTENCE.search(body) or len(body) >= WRAPPED and after.lstrip(SPACE)[:1].islower()
     if not prose or sum(map(body.count, SYMBOLS)) > MOST_SYMBOLS * len(body):
         return "punctuation"
     if "!!" in body:
@@ -70,7 +77,7 @@ def judged(text: str) -> dict:
     lines = text.split("\n")
     seen: set[str] = set()
     kept, held, lost, dup = [], 0, 0, 0
-    for line in lines:
+    for line, after in zip(lines, [*lines[1:], ""]):
         body = line.strip(SPACE)
         if not body:
             kept.append(line)
@@ -79,7 +86,7 @@ def judged(text: str) -> dict:
         dup += again
         seen.add(line)
         held += len(body)
-        if again or failure(line):
+        if again or failure(line, after):
             lost += len(body)
         else:
             kept.append(line)

@@ -497,6 +497,43 @@ def test_line_rules():
     assert quality.failure("We use cookies.") == "boilerplate" and quality.failure("A plain sentence.") is None
 
 
+def plain_verdict(text):
+    """The verdict by patterns over each line and what follows it, as the module's docstring has it."""
+    lines = text.split("\n")
+    held = lost = 0
+    for i, line in enumerate(lines):
+        body = re.sub(f"^[{SPACE}]+|[{SPACE}]+$", "", line)
+        if not body:
+            continue
+        words, follows = body.split(), re.match(f"[{SPACE}]*(.)", lines[i + 1]) if i + 1 < len(lines) else None
+        ends = re.search("[" + re.escape(quality.CLOSING) + "]$", body) or (len(body) >= 200 and re.search("[.!?。] ", body)) or (len(body) >= 40 and follows and follows[1].islower())
+        bad = line in lines[:i] or len(re.findall("[|›»•·]", body)) >= 3 or not ends or 20 * len(re.findall(r"[#*$%&|<>]", body)) > len(body)
+        bad = bad or sum(w.endswith("!!") for w in words) * 3 >= len(words) and "!!" in body
+        bad = bad or len(words) <= 12 and any(s in body.lower() for s in quality.STOCK)
+        held, lost = held + len(body), lost + bad * len(body)
+    return not plain_quality(text)["base_failed"] and 2 * lost <= held
+
+
+def test_verdict_equals_the_plain_one():
+    rng = random.Random(17)
+    lines = ["A plain sentence stands here, and it ends as it should.", "Home | News | About | Us", "no end here", "We use cookies.", "Wow!! so!! good!!", "", "  ", "this line is long enough to be wrapped and goes on", "in lower case, as prose does that a mail program breaks.", "a # b # c #.", "यह एक वाक्य है।", "x" * 250 + ". y", "Same line again."]
+    kept = 0
+    for _ in range(1500):
+        text = "\n".join(rng.choice(lines) + (f" {rng.randint(0, 99)}." if rng.random() < 0.5 else "") for _ in range(rng.randint(3, 25)))
+        got = quality.judged(text)
+        assert got["kept"] == plain_verdict(text), text
+        kept += got["kept"]
+    assert 150 < kept < 1350
+    for text in [t or "" for t in AWKWARD] + random_texts(300, 18):
+        assert quality.judged(text)["kept"] == plain_verdict(text), text[:60]
+
+
+def test_wrapped_prose_is_kept():
+    words = [f"word{i}" for i in range(300)]
+    wrapped = "\n".join(" ".join(words[i : i + 9]) for i in range(0, 300, 9)) + "."
+    assert quality.judged(wrapped)["kept"] and quality.judged(wrapped)["cleaned"] == wrapped
+
+
 def test_op8(spark, sf, empty):
     texts = texts_of(spark, sf)
     found = rows(quality.op8_quality_rules(spark, sf))
