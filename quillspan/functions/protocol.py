@@ -123,24 +123,31 @@ def detect_loop(text: Column) -> Column:
 def _loop_reason(w: Column, lines: Column, text: Column) -> Column:
     n = F.size(w)
 
-    def runs(items: Column) -> Column:
-        """Items with their counts from a sorted array."""
-        return F.transform(F.array_distinct(items), lambda x: F.struct((-F.size(F.filter(items, lambda y: y == x))).alias("k"), x.alias("x")))
+    def longest(items: Column) -> Column:
+        """The most frequent of a sorted array and how often it stands there, the first of several, in one pass."""
+        none = F.lit(None).cast("string")
+        begin = F.struct(none.alias("x"), F.lit(0).alias("n"), none.alias("best"), F.lit(0).alias("k"))
+
+        def step(s: Column, x: Column) -> Column:
+            n = F.when(s["x"] == x, s["n"] + 1).otherwise(1)
+            return F.struct(x.alias("x"), n.alias("n"), F.when(n > s["k"], x).otherwise(s["best"]).alias("best"), F.greatest(n, s["k"]).alias("k"))
+
+        return F.aggregate(items, begin, step)
 
     # a word over 70 % fills the middle of the sorted words
     ordered = F.array_sort(w)
     middle = item(ordered, (n / 2).cast("int") + 1)
-    share = bound(middle, lambda m: F.floor(F.size(F.filter(w, lambda x: x == m)) * 100 / n))
-    trigrams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
+    share = bound(middle, lambda m: F.floor((n - F.size(F.array_remove(w, m))) * 100 / n))
+    trigrams = F.transform(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
     distinct = F.size(F.array_distinct(trigrams))
-    repeated = item(F.array_sort(F.filter(runs(lines), lambda s: s["k"] <= -3)), 1)
+    repeated = longest(F.array_sort(lines))
     return (
         F.when(F.contains(text, F.lit(IM_END)), F.lit(f"chat_template_token: {IM_END}"))
         .when(F.contains(text, F.lit(IM_START)), F.lit(f"chat_template_token: {IM_START}"))
         .when(n < 20, F.lit(None))
         .when(share > 70, F.concat(F.lit("word_dominance: '"), middle, F.lit("' at "), share.cast("string"), F.lit("% of "), n.cast("string"), F.lit(" tokens")))
         .when((n >= 30) & (distinct * 10 < n - 2), F.concat(F.lit("trigram_collapse: "), distinct.cast("string"), F.lit("/"), (n - 2).cast("string"), F.lit(" unique trigrams ("), F.floor(distinct * 100 / (n - 2)).cast("string"), F.lit("%)")))
-        .when((F.size(lines) >= 6) & (F.size(F.array_distinct(lines)) <= F.size(lines) - 2) & repeated.isNotNull(), F.concat(F.lit("line_repetition: '"), F.substring(repeated["x"], 1, 60), F.lit("...' ×"), (-repeated["k"]).cast("string"), F.lit(" (first at byte "), F.octet_length(F.split_part(text, repeated["x"], F.lit(1))).cast("string"), F.lit(")")))
+        .when((F.size(lines) >= 6) & (F.size(F.array_distinct(lines)) <= F.size(lines) - 2), bound(repeated, lambda r: F.when(r["k"] >= 3, F.concat(F.lit("line_repetition: '"), F.substring(r["best"], 1, 60), F.lit("...' ×"), r["k"].cast("string"), F.lit(" (first at byte "), F.octet_length(F.split_part(text, r["best"], F.lit(1))).cast("string"), F.lit(")")))))
     )
 
 
@@ -203,7 +210,7 @@ def last_user_text(messages: Column) -> Column:
 def verdict_score(text: Column) -> Column:
     """A judge's score, 0 to 1: of the JSON from the first ``{`` to the last ``}``, else the number after ``score``."""
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    strict = F.get_json_object(body, "$.score").cast("double")
-    loose = F.nullif(F.regexp_extract(text, r'"?score"?\s*[:=]\s*(-?[0-9]*\.?[0-9]+)', 1), F.lit("")).cast("double")
+    strict = F.get_json_object(body, "$.score").try_cast("double")
+    loose = F.regexp_extract(text, r'"?score"?\s*[:=]\s*(-?[0-9]*\.?[0-9]+)', 1).try_cast("double")
     score = F.coalesce(strict, loose)
     return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))

@@ -73,6 +73,17 @@ def index_tokens(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(runs, expanded)), lambda t: F.octet_length(t) > 1)
 
 
+def run_terms(run: Column) -> Column:
+    """Index terms of one alphanumeric run, an array; most runs have no subwords and are told apart cheaply."""
+    low, rest, letters = F.lower(run), F.substring(run, 2, 2**31 - 1), F.translate(run, "0123456789", "")
+    marked = run
+    for pattern in SUBWORD_BREAKS:
+        marked = F.regexp_replace(marked, pattern, f"$1{BREAK}$2")
+    parts = F.split(F.lower(marked), BREAK)
+    several = F.when(F.size(parts) > 1, F.concat(F.array(low), parts)).otherwise(F.array(low))
+    return F.when((F.lower(rest) == rest) & ((letters == run) | (letters == "")), F.array(low)).otherwise(several)
+
+
 def topic_tokens(text: Column) -> Column:
     """Lower-case alphanumeric runs of more than two bytes that are no stopwords."""
     stop = F.array(*map(F.lit, STOPWORDS))

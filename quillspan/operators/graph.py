@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EXPAND_CAP, EXPAND_DISCOUNT
-from ..functions.text import item
 
 
-def line_offsets(text: Column) -> Column:
-    """Byte offsets at which lines begin: 0, then after each line end."""
-    sizes = F.transform(F.split(text, "\n"), lambda x: F.octet_length(x).cast("long") + 1)
-    return F.slice(F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda s, n: F.concat(s, F.array(item(s, -1) + n))), F.lit(1), F.size(sizes))
+def line_count(text: Column) -> Column:
+    return F.size(F.split(text, "\n")).cast("long")
 
 
 def line_offset(text: Column, line: Column) -> Column:
-    """Offset of a line (1 first), clamped to the last; line 0 is 0."""
-    starts = line_offsets(text)
-    return F.when(line <= 0, F.lit(0).cast("long")).otherwise(item(starts, F.least(line.cast("int"), F.size(starts))))
+    """Byte offset of a line (1 first), clamped to the last; line 0 is 0.  One look through the text."""
+    before = F.least(line.cast("int"), line_count(text).cast("int")) - 1
+    return F.when(before <= 0, F.lit(0)).otherwise(F.octet_length(F.call_function("substring_index", text, F.lit("\n"), before)) + 1).cast("long")
+
+
+def line_starts(docs: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, line (1 first), at: the byte offsets at which all lines begin, for files that many places point into."""
+    lines = docs.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(F.col(content), F.lit("")), "\n")).alias("n", "line"))
+    before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long")
+    return lines.select("path", (F.col("n") + 1).alias("line"), at.alias("at"))
 
 
 def covering_chunk(places: DataFrame, chunks: DataFrame, key: str = "path") -> DataFrame:

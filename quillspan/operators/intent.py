@@ -10,11 +10,12 @@ from ..functions.text import bound
 
 #: Flags of an intent.  Fixed values, in order.
 FLAGS = (
-    "is_inventory_request is_results_request is_status_request is_next_step_request wants_exact_names_or_paths wants_numeric_values "
-    "wants_latest_run_only wants_comparison wants_explanation wants_completion_state wants_recommended_actions needs_grounded_evidence_only abstain"
-).split()
-VERBS = "wants_ want_ needs_ need_ requires_ require_ are_ is_".split()
-SIGNALS = FLAGS[:4] + ["wants_latest_run_only", "wants_explanation"]
+    "is_inventory_request", "is_results_request", "is_status_request", "is_next_step_request", "wants_exact_names_or_paths", "wants_numeric_values", "wants_latest_run_only",
+    "wants_comparison", "wants_explanation", "wants_completion_state", "wants_recommended_actions", "needs_grounded_evidence_only", "abstain",
+)
+#: Verbs that a key may begin with.  Fixed values.
+VERBS = ("wants_", "want_", "needs_", "need_", "requires_", "require_", "are_", "is_")
+SIGNALS = (*FLAGS[:4], "wants_latest_run_only", "wants_explanation")
 #: A line of guidance per flag.  Fixed text.
 GUIDANCE = {
     "is_inventory_request": "For inventory-style questions, list exact names or paths present in recalled evidence before summarizing.",
@@ -50,7 +51,10 @@ def _intent(values: Column) -> Column:
     known = F.array(*(key_core(F.lit(f)) for f in FLAGS))
 
     def made(entries: Column) -> Column:
-        flag = lambda name: F.exists(entries, lambda e: (e["core"] == key_core(F.lit(name))) & (e["value"] == "true"))
+        return bound(F.transform(F.filter(entries, lambda e: e["value"] == "true"), lambda e: e["core"]), lambda true: told(entries, true))
+
+    def told(entries: Column, true: Column) -> Column:
+        flag = lambda name: F.array_contains(true, key_core(F.lit(name)))
         other = F.filter(entries, lambda e: ~(F.array_contains(known, e["core"]) & e["value"].isin("true", "false")) & (e["key"] != "confidence"))
         extra = F.map_from_entries(F.transform(other, lambda e: F.struct(e["key"], e["value"])))
         confidence = F.try_element_at(values, F.lit("confidence")).try_cast("double")
@@ -93,13 +97,21 @@ def no_signals(found: Column) -> Column:
 
 
 def majority_vote(votes: DataFrame, key: str = "case", intent: str = "intent") -> DataFrame:
-    """``key``, intent: flags that more than half of the votes set, the mean confidence; a sole vote stays as it is."""
-    n = F.count("*")
-    flag = lambda f: F.sum(F.col(f"{intent}.{f}").cast("int")) >= F.floor(n / 2) + 1
-    out = votes.groupBy(key).agg(*(flag(f).alias(f) for f in FLAGS), F.avg(f"{intent}.confidence").alias("confidence"), n.alias("votes"))
-    hints = votes.select(key, F.explode(F.map_keys(F.map_filter(F.col(f"{intent}.extra"), lambda k, v: v == "true"))).alias("hint")).groupBy(key, "hint").agg(F.count("*").alias("n"))
-    agreed = hints.join(out.select(key, "votes"), key).where(F.col("n") >= F.floor(F.col("votes") / 2) + 1).groupBy(key).agg(F.array_sort(F.collect_list("hint")).alias("hints"))
-    return out.join(agreed, key, "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<string>")))
+    """``key``, intent: flags that more than half of the votes set, the mean confidence; a sole vote stays as it is.
+
+    Each vote is read once: it gives a row of its own and one for each of its hints, and both are counted
+    together, before the shuffle; a case is one row a hint from then on.
+    """
+    hints = F.map_keys(F.map_filter(F.coalesce(F.col(f"{intent}.extra"), F.create_map().cast("map<string,string>")), lambda k, v: v == "true"))
+    rows = votes.select(key, *(F.col(f"{intent}.{f}").cast("int").alias(f) for f in FLAGS), F.col(f"{intent}.confidence").alias("confidence"), F.explode(F.concat(F.array(F.lit(None).cast("string")), hints)).alias("hint"))
+    counted = rows.groupBy(key, "hint").agg(*(F.sum(f).alias(f) for f in FLAGS), F.avg("confidence").alias("confidence"), F.count("*").alias("n"))
+    own = F.col("hint").isNull()
+    n = F.max(F.when(own, F.col("n")))
+    flag = lambda f: F.max(F.when(own, F.col(f))) >= F.floor(n / 2) + 1
+    told = F.collect_list(F.when(~own, F.struct("hint", "n")))
+    out = counted.groupBy(key).agg(*(flag(f).alias(f) for f in FLAGS), F.max(F.when(own, F.col("confidence"))).alias("confidence"), n.alias("votes"), told.alias("told"))
+    agreed = F.filter("told", lambda h: h["n"] >= F.floor(F.col("votes") / 2) + 1)
+    return out.withColumn("hints", F.array_sort(F.transform(agreed, lambda h: h["hint"]))).drop("told")
 
 
 def ensemble(votes: DataFrame, models: DataFrame, top: int, case: str = "case") -> DataFrame:

@@ -6,35 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TOPIC_OVERLAP, TOPIC_TERMS
-from ..functions.text import topic_tokens
+from ..functions.text import STOPWORDS
+from ..storage import stored
 
 
 def topic_terms(fragments: DataFrame, most: int = TOPIC_TERMS, ident: str = "id", text: str = "content") -> DataFrame:
     """id, term, n, rank: the most frequent terms of each, ties by term."""
-    counted = fragments.select(F.col(ident).alias("id"), F.explode(topic_tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    # exploded first: the tests of the terms are generated code then
+    parts = fragments.select(F.col(ident).alias("id"), F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")).alias("term"))
+    counted = parts.where((F.octet_length("term") > 2) & ~F.col("term").isin(*STOPWORDS)).groupBy("id", "term").agg(F.count("*").alias("n"))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "term"))).where(F.col("rank") <= most)
 
 
 def topic_overlaps(terms: DataFrame, sources: DataFrame, least: float = TOPIC_OVERLAP, digits: int = 6) -> DataFrame:
     """Pairs a < b of different sources that share more than ``least`` of the smaller term set: shared, overlap.
 
-    ``terms``: id, term; ``sources``: id, source.  Two sets that share k terms share one of the
-    smaller's rarest ``size - k + 1``: only those probe, so the terms that everything has pair few.
-    No pair is lost.
+    ``terms``: id, term; ``sources``: id, source.  Fragments of one source with the same terms are one
+    class, named by its smallest id: ``copies_a`` and ``copies_b`` say how many it has, and no pairs are
+    made within it.  Two sets that share k terms share one of the smaller's rarest ``size - k + 1``:
+    only those probe, so the terms that everything has pair few.  No pair of classes is lost.  The sets
+    are written once and read for all that follows.
     """
-    spread = terms.groupBy("term").agg(F.count("*").alias("spread"))
-    rows = terms.select("id", "term").join(spread, "term").join(sources, "id")
-    sets = rows.groupBy("id", "source").agg(F.sort_array(F.collect_list(F.struct("spread", "term"))).alias("s"))
-    sets = sets.select("id", "source", F.col("s.term").alias("set"), F.size("s").alias("size"))
+    rows = terms.select("id", "term").join(sources, "id")
+    sets = rows.groupBy("id", "source").agg(F.array_sort(F.collect_list("term")).alias("s"))
+    classes = stored(sets.groupBy("source", "s").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "topic-sets")
+    spread = classes.select(F.explode("s").alias("term")).groupBy("term").agg(F.count("*").alias("spread"))
+    each = classes.select("id", "source", "copies", F.size("s").alias("size"), F.explode("s").alias("term"))
+    ordered = each.join(spread, "term").groupBy("id", "source", "copies", "size").agg(F.sort_array(F.collect_list(F.struct("spread", "term"))).alias("o"))
     need = F.floor(F.col("size") * least).cast("int") + 1
-    probe = sets.select(F.col("id").alias("p"), F.col("source").alias("ps"), F.col("size").alias("pn"), F.explode(F.slice("set", F.lit(1), F.greatest(F.col("size") - need + 1, F.lit(1)))).alias("term"))
-    held = sets.select(F.col("id").alias("q"), F.col("source").alias("qs"), F.col("size").alias("qn"), F.explode("set").alias("term"))
+    rare = F.slice(F.col("o.term"), F.lit(1), F.greatest(F.col("size") - need + 1, F.lit(1)))
+    probe = ordered.select(F.col("id").alias("p"), F.col("source").alias("ps"), F.col("size").alias("pn"), F.explode(rare).alias("term"))
+    held = each.select(F.col("id").alias("q"), F.col("source").alias("qs"), F.col("size").alias("qn"), "term")
     met = probe.join(held, "term").where((F.col("p") != F.col("q")) & (F.col("ps") != F.col("qs")) & (F.col("pn") <= F.col("qn")))
     pairs = met.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
-    a, b = (sets.select(*(F.col(c).alias(f"{c}_{x}") for c in sets.columns)) for x in "ab")
+    a, b = (classes.select(F.col("id").alias(f"id_{x}"), F.col("source").alias(f"source_{x}"), F.col("s").alias(f"set_{x}"), F.col("copies").alias(f"copies_{x}")) for x in "ab")
     near = pairs.join(a, "id_a").join(b, "id_b").withColumn("shared", F.array_sort(F.array_intersect("set_a", "set_b")))
-    near = near.withColumn("overlap", F.round(F.size("shared") / F.least("size_a", "size_b"), digits)).where(F.col("overlap") > least)
-    return near.select("id_a", "id_b", "source_a", "source_b", "shared", "overlap")
+    near = near.withColumn("overlap", F.round(F.size("shared") / F.least(F.size("set_a"), F.size("set_b")), digits)).where(F.col("overlap") > least)
+    return near.select("id_a", "id_b", "source_a", "source_b", "copies_a", "copies_b", "shared", "overlap")
 
 
 def overlap_warning(path_a: Column, path_b: Column, shared: Column, overlap: Column) -> Column:

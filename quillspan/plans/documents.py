@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import protocol, ranges, text as tx
-from ..operators import ingest, provenance, stubs
+from ..operators import graph, ingest, lexical, provenance, stubs
 from ..registry import query, table
 from ..sources import files, sampling
 
@@ -162,7 +162,11 @@ def topic_terms(spark, d):
     return provenance.topic_terms(table(spark, d, "documents"), ident="doc_id", text="text")
 
 
-@query("topic_overlap", TERMS + ", z AS (SELECT id, list(term) AS s, count(*) AS n FROM top GROUP BY id), m AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM top a JOIN top b ON a.term = b.term AND a.id < b.id), p AS (SELECT id_a, id_b, da.source AS source_a, db.source AS source_b, list_sort(list_intersect(x.s, y.s)) AS shared, least(x.n, y.n) AS k FROM m JOIN z x ON x.id = id_a JOIN z y ON y.id = id_b JOIN documents da ON da.doc_id = id_a JOIN documents db ON db.doc_id = id_b WHERE da.source <> db.source) SELECT id_a, id_b, source_a, source_b, array_to_string(shared, ',') AS shared, round(len(shared) / k, 6) AS overlap FROM p WHERE round(len(shared) / k, 6) > 0.3")
+@query("topic_overlap", TERMS + """, y AS (SELECT id, source, list_sort(list(term)) AS s FROM top JOIN documents ON doc_id = id GROUP BY 1, 2),
+z AS (SELECT min(id) AS id, source, s, len(s) AS n, count(*)::BIGINT AS copies FROM y GROUP BY source, s), e AS (SELECT id, source, unnest(s) AS term FROM z),
+m AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM e a JOIN e b ON a.term = b.term AND a.id < b.id AND a.source <> b.source),
+p AS (SELECT id_a, id_b, x.source AS source_a, w.source AS source_b, x.copies AS copies_a, w.copies AS copies_b, list_sort(list_intersect(x.s, w.s)) AS shared, least(x.n, w.n) AS k FROM m JOIN z x ON x.id = id_a JOIN z w ON w.id = id_b)
+SELECT id_a, id_b, source_a, source_b, copies_a, copies_b, array_to_string(shared, ',') AS shared, round(len(shared) / k, 6) AS overlap FROM p WHERE round(len(shared) / k, 6) > 0.3""")
 def topic_overlap(spark, d):
     docs = table(spark, d, "documents")
     terms = provenance.topic_terms(docs, ident="doc_id", text="text").select("id", "term")
@@ -183,12 +187,15 @@ def curated_haystack(spark, d):
     return sampling.curated(docs, wanted, 80, "h1").select("path")
 
 
-@query("line_offsets", "SELECT doc_id, (strlen(text) - strlen(regexp_replace(text, '\\n', '', 'g')) + 1)::BIGINT AS n_lines, CASE WHEN contains(text, chr(10)) THEN strlen(split_part(text, chr(10), 1)) + 1 ELSE 0 END::BIGINT AS second FROM documents")
+@query("line_offsets", "SELECT doc_id, (strlen(text) - strlen(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, CASE WHEN contains(text, chr(10)) THEN strlen(split_part(text, chr(10), 1)) + 1 ELSE 0 END::BIGINT AS second FROM documents")
 def line_offsets(spark, d):
-    from ..operators.graph import line_offset, line_offsets
-
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.size(line_offsets(t)).cast("long").alias("n_lines"), line_offset(t, F.lit(2)).alias("second"))
+    return table(spark, d, "documents").select("doc_id", graph.line_count(t).alias("n_lines"), graph.line_offset(t, F.lit(2)).alias("second"))
+
+
+@query("line_starts", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1)::INT AS line FROM l) SELECT doc_id::VARCHAR AS path, line, coalesce(sum(strlen(x) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"at\" FROM u")
+def line_starts(spark, d):
+    return graph.line_starts(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
 
 
 @query("range_apply", "WITH l AS (SELECT doc_id, text, regexp_split_to_array(regexp_replace(text, '\\r?\\n$', ''), '\\r?\\n') AS l FROM documents) SELECT doc_id, array_to_string(l[2:3], chr(10)) AS lines, CASE WHEN len(l) >= 2 THEN l[2] ELSE '' END AS one, '2-3' AS locator FROM l")
@@ -201,6 +208,6 @@ def range_apply(spark, d):
 @query("quote_grounding", f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON length(trim(regexp_replace(lower(b.text), '{WS}', ' ', 'g'))) >= 10 AND contains(trim(regexp_replace(lower(d.text), '{WS}', ' ', 'g')), trim(regexp_replace(lower(b.text), '{WS}', ' ', 'g')))")
 def quote_grounding(spark, d):
     """Documents that hold a benchmark text apart from case and white space."""
-    docs = table(spark, d, "documents").select("doc_id", tx.squeezed(F.col("text")).alias("t"))
-    items = table(spark, d, "benchmark").select("item_id", tx.squeezed(F.col("text")).alias("q")).where(F.length("q") >= 10)
-    return docs.join(items, F.contains("t", "q")).select("item_id", "doc_id")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), tx.squeezed(F.col("text")).alias("text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.squeezed(F.col("text")).alias("needle")).where(F.length("needle") >= 10)
+    return lexical.holding(docs, items).toDF("item_id", "doc_id")

@@ -18,8 +18,12 @@ def questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index(spark, d) -> lexical.Index:
+    return lexical.index_of(spark, f"{d}/documents.parquet")
+
+
 def bm25_hits(spark, d, k) -> DataFrame:
-    return lexical.bm25_topk(table(spark, d, "documents"), questions(spark, d), k)
+    return lexical.bm25_topk(index(spark, d), questions(spark, d), k)
 
 
 def cosine_hits(spark, d, k) -> DataFrame:
@@ -36,12 +40,13 @@ def bm25_topk(spark, d):
 
 @query("posting_stats", TOKENS + ", p AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY term, id) SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, max(tf)::BIGINT AS most FROM p GROUP BY term")
 def posting_stats(spark, d):
-    return lexical.postings(table(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("most"))
+    return index(spark, d).terms
 
 
 @query("corpus_stats", TOKENS + ", l AS (SELECT id, count(*) AS dl FROM tok GROUP BY id) SELECT count(*)::BIGINT AS n, round(sum(coalesce(dl, 0)) / count(*), 6) AS avg_dl FROM documents LEFT JOIN l ON l.id = doc_id")
 def corpus_stats(spark, d):
-    return lexical.corpus_stats(table(spark, d, "documents")).select("n", F.round("avg_dl", 6).alias("avg_dl"))
+    held = index(spark, d)
+    return spark.range(1).select(F.lit(held.n).cast("long").alias("n"), F.round(F.lit(held.avg_dl), 6).alias("avg_dl"))
 
 
 @query("index_tokens", TOKENS + ", c AS (SELECT id, count(*)::BIGINT AS n, count(DISTINCT term)::BIGINT AS n_distinct, min(term) AS first_term, max(term) AS last_term FROM tok GROUP BY id) SELECT * FROM c")
@@ -131,14 +136,10 @@ c AS (SELECT query_id, id, (CASE WHEN contains(lower(p_name), query_id) THEN 0.8
 h AS (SELECT query_id, id, round(CASE WHEN direct > 0 THEN direct ELSE len(list_filter(t, lambda x: contains(e, x))) / len(t) END, 6) AS score FROM c)
 """ + ranked_sql("h", K))
 def keyword_overlap(spark, d):
-    """Every distinct part name asks all parts: name as path, type as summary, brand as outline.
-
-    The names are a small vocabulary; the planner broadcasts them when their size allows it.
-    """
+    """Every distinct part name asks all parts: name as path, type as summary, brand as outline."""
     part = table(spark, d, "part")
-    asked = part.select(F.lower("p_name").alias("query_id")).distinct()
-    score = lexical.keyword_score(F.col("query_id"), F.col("p_name"), F.col("p_type"), F.array("p_brand"))
-    return knn.ranked(asked.join(part).select("query_id", F.col("p_partkey").alias("id"), F.round(score, 6).alias("score")), K)
+    asked = part.select(F.lower("p_name").alias("query_id")).distinct().withColumn("query", F.col("query_id"))
+    return lexical.keyword_topk(asked, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("path"), F.col("p_type").alias("summary"), F.array("p_brand").alias("outline")), K)
 
 
 def _edges(spark, d):
@@ -202,9 +203,9 @@ GOLD = BM25 + ", h AS (SELECT * FROM (" + ranked_sql("bm", 50) + ")), gold AS (S
 
 
 def _gold(spark, d):
-    """Documents that hold a benchmark text as it stands: the few texts are a bounded broadcast side of a containment join."""
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
-    return docs.join(items, F.contains("text", "needle")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    """Documents that hold a benchmark text as it stands."""
+    docs, items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
+    return lexical.holding(docs, items)
 
 
 @query("recall_precision", GOLD + """, f AS (SELECT h.query_id, count(*) AS n, count(gold.id) AS hits FROM h LEFT JOIN gold USING (query_id, id) WHERE rank <= 10 GROUP BY 1), w AS (SELECT query_id, count(DISTINCT id) AS want FROM gold GROUP BY 1), e AS (SELECT query_id FROM h UNION SELECT query_id FROM gold)
