@@ -116,15 +116,27 @@ def load_fragments(candidates: DataFrame, budget: int, recall: Recall = Recall()
     return candidates.groupBy("session").applyInPandas(run, f"session {kinds['session']}, id {kinds['id']}, outcome string, score double")
 
 
-def evictions(loaded: DataFrame, budget: int, unload: float = Thresholds.unload, latest_only: bool = False) -> DataFrame:
+def evictions(loaded: DataFrame, budget: int, unload: float = Thresholds.unload, latest_only: bool = False, ranges: int = 1024) -> DataFrame:
     """``loaded`` (session, id, tokens, score, mtime) with evicted.
 
     From the lowest score (then the oldest, with ``latest_only``) fragments go while their score is below
     ``unload`` or what is left is over the budget.  Whoever is kept ends it, so what goes is a
-    prefix: a running sum decides, without a loop.
+    prefix: a running sum decides, without a loop.  Scores fall into ``ranges`` (of 0 to 1) and the
+    ranges' sums say for all but one of a session whether they are before or past the budget; only rows
+    of that range are ordered together, all others are dealt by id.  So a session may hold any share of
+    all rows.  Null scores come first.
     """
+    at = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor(F.col("score") * ranges))), F.lit(-1)).cast("int")
+    rows = loaded.withColumn("__range", at)
+    up_to = Window.partitionBy("session").orderBy("__range")
+    sums = rows.groupBy("session", "__range").agg(F.sum("tokens").alias("size"))
+    sums = sums.withColumn("below", F.sum("size").over(up_to) - F.col("size")).withColumn("total", F.sum("size").over(Window.partitionBy("session")))
+    over, under = F.col("total") - F.col("below") - F.col("size") > budget, F.col("total") - F.col("below") <= budget
+    plan = sums.select("session", "__range", F.col("below").alias("__below"), F.col("total").alias("__total"), (~over & ~under).alias("__edge"), over.alias("__over"))
+    told = rows.join(plan, ["session", "__range"]).withColumn("__deal", F.when(F.col("__edge"), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")))
     keys = [F.col("score"), *([F.col("mtime")] if latest_only else []), F.col("id")]
-    before = Window.partitionBy("session").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("tokens").over(Window.partitionBy("session"))
-    left = total - F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    return loaded.withColumn("evicted", (F.col("score") < unload) | (left > budget))
+    before = Window.partitionBy("session", "__range", "__deal").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("__total") - F.col("__below") - F.coalesce(F.sum("tokens").over(before), F.lit(0))
+    out = told.withColumn("__left", left)
+    gone = (F.col("score") < unload) | F.when(F.col("__edge"), F.col("__left") > budget).otherwise(F.col("__over"))
+    return out.select(*(F.col(f"`{c}`") for c in loaded.columns), gone.alias("evicted"))

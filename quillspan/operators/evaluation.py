@@ -221,21 +221,45 @@ def phase_split(total: Column, generation: Column, judge: Column) -> Column:
     return F.struct(generation.alias("generation"), judge.alias("judge"), F.greatest(total - generation - judge, F.lit(0.0)).alias("other"))
 
 
+def second_moments(vectors: DataFrame, vector: str, dimension: int):
+    """Number, sum and sum of outer products of the vectors, as numpy arrays.
+
+    Every task sums its batches' X'X; its one sum is what is shuffled, cell by cell, and the driver
+    gets d * d + d + 1 numbers, whatever the number of rows or tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        n, sums, products = 0, np.zeros(dimension), np.zeros((dimension, dimension))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dimension)
+            n, sums, products = n + len(x), sums + x.sum(axis=0), products + x.T @ x
+        yield pa.record_batch([pa.array([np.concatenate([[n], sums, products.ravel()])])], names=["s"])
+
+    held = vectors.where(F.size(vector) == dimension).select(F.col(vector).cast("array<double>").alias("v"))
+    cells = held.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    flat = np.zeros(1 + dimension + dimension**2)
+    for r in cells.collect():
+        flat[r["i"]] = r["x"]
+    return flat[0], flat[1 : dimension + 1], flat[dimension + 1 :].reshape(dimension, dimension)
+
+
 def whitened(vectors: DataFrame, components: int, ident: str = "id", vector: str = "vector") -> DataFrame:
     """Vectors without their mean and their first principal components, normalized again.
 
-    The covariance of d dimensions is d x d whatever the number of rows: it is summed in the cluster.
+    Null vectors are left out; an empty table gives an empty result.
     """
     import numpy as np
 
-    d = vectors.select(F.size(vector)).first()[0]
-    x = vectors.select(F.col(ident), F.col(vector).cast("array<double>").alias("v"))
-    mean = np.array([r["m"] for r in x.select(F.posexplode("v").alias("j", "a")).groupBy("j").agg(F.avg("a").alias("m")).orderBy("j").collect()])
-    a, b = F.posexplode("v").alias("i", "a"), F.posexplode("v").alias("j", "b")
-    cov = np.zeros((d, d))
-    for r in x.select("v", a).select("i", "a", b).where("i <= j").groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("c")).collect():
-        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["c"] - mean[r["i"]] * mean[r["j"]]
-    top = np.linalg.eigh(cov)[1][:, ::-1][:, :components]
+    kept = vectors.where(F.col(vector).isNotNull())
+    schema = f"{ident} {vectors.schema[ident].dataType.simpleString()}, vector array<double>"
+    first = kept.select(F.size(vector)).first()
+    if first is None:
+        return kept.select(ident, F.col(vector).cast("array<double>").alias("vector"))
+    n, sums, products = second_moments(kept, vector, first[0])
+    mean = sums / n
+    top = np.linalg.eigh(products / n - np.outer(mean, mean))[1][:, ::-1][:, :components]
 
     def run(batches):
         for pdf in batches:
@@ -244,7 +268,7 @@ def whitened(vectors: DataFrame, components: int, ident: str = "id", vector: str
             norm = np.linalg.norm(m, axis=1, keepdims=True)
             yield pdf[[ident]].assign(vector=list(m / np.where(norm > 0, norm, 1)))
 
-    return x.mapInPandas(run, f"{ident} {vectors.schema[ident].dataType.simpleString()}, vector array<double>")
+    return kept.select(F.col(ident), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, schema)
 
 
 def diagnose_misses(misses: DataFrame, cutoff: int = 10) -> Column:

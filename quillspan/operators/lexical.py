@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_K1
 from ..functions.text import index_tokens, run_terms
-from ..storage import exists, fingerprint, moved, new_path, shared_dir
+from ..storage import dealt, exists, fingerprint, moved, new_path, shared_dir
 from .knn import ranked
 
 #: Changes when an index holds something else than before.
@@ -66,7 +66,7 @@ def index_of(spark: SparkSession, table: str, doc_id: str = "doc_id", text: str
     path = f"{shared_dir(spark)}/lexical/{LAYOUT}-{doc_id}-{text}-{fingerprint(spark, table)}"
     if not exists(spark, path):
         made = new_path(spark, "lexical-new")
-        build_index(spark.read.parquet(table), made, doc_id, text)
+        build_index(dealt(spark, table), made, doc_id, text)
         moved(spark, made, path)
     return open_index(spark, path)
 

@@ -102,19 +102,26 @@ START = {"calls": 0, "errors": 0, "row": 0, "health": HEALTHY}
 def health_history(calls: DataFrame, latency_limit: float = 5000.0) -> DataFrame:
     """component, seq, health after every call (component, seq, ok, latency_ms).
 
-    A state machine: a component's calls are one group.
+    A state machine whose state holds running counts, so a component's calls are read in order by one
+    task.  They stream through it in Arrow batches with one small state: a component of any length
+    needs no more memory than a batch.
     """
-    import pandas as pd
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, out = dict(START), []
-        group = group.sort_values("seq")
-        for ok, ms in zip(group["ok"], group["latency_ms"]):
-            state = health_step(state, bool(ok), float(ms), latency_limit)
-            out.append(state["health"])
-        return group[["component", "seq"]].assign(health=out)
-
-    return calls.groupBy("component").applyInPandas(run, f"component {calls.schema['component'].dataType.simpleString()}, seq {calls.schema['seq'].dataType.simpleString()}, health string")
+    import pyarrow as pa
+
+    schema = f"component {calls.schema['component'].dataType.simpleString()}, seq {calls.schema['seq'].dataType.simpleString()}, health string"
+
+    def run(batches):
+        at, state = object(), dict(START)
+        for batch in batches:
+            out = []
+            for component, ok, ms in zip(*(batch.column(c).to_pylist() for c in ("component", "ok", "latency_ms"))):
+                if component != at:
+                    at, state = component, dict(START)
+                state = health_step(state, bool(ok), float(ms or 0.0), latency_limit)
+                out.append(state["health"])
+            yield pa.record_batch([batch.column("component"), batch.column("seq"), pa.array(out, pa.string())], names=["component", "seq", "health"])
+
+    return calls.select("component", "seq", "ok", "latency_ms").repartition("component").sortWithinPartitions("component", "seq").mapInArrow(run, schema)
 
 
 def effective_tier(summary: Column, embedding: Column, throttled: Column) -> Column:

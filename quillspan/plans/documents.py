@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import protocol, ranges, text as tx
 from ..operators import graph, ingest, lexical, provenance, stubs
-from ..registry import query, table
+from ..registry import query, table, texts
 from ..sources import files, sampling
 
 WS = r"[\t-\r \x{85}\p{Z}]+"
@@ -17,13 +17,13 @@ FIRST_LINE = "(list_filter(regexp_split_to_array(regexp_replace(content, '\\r?\\
 
 
 def corpus(spark, d):
-    return files.as_documents(table(spark, d, "documents"))
+    return files.as_documents(texts(spark, d))
 
 
 @query("token_counts", f"WITH w AS (SELECT doc_id, text, {WORDS} AS w FROM documents) SELECT doc_id, greatest(len(w), 1)::BIGINT AS tokens, (strlen(text) // 3)::BIGINT AS cheap, strlen(text) // 3 <= 500 AS one_chunk, array_to_string(w[6:15], ' ') AS part FROM w")
 def token_counts(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", tx.token_count(t).alias("tokens"), tx.cheap_tokens(t).alias("cheap"), (tx.cheap_tokens(t) <= 500).alias("one_chunk"), tx.token_range(t, F.lit(5), F.lit(10)).alias("part"))
+    return texts(spark, d).select("doc_id", tx.token_count(t).alias("tokens"), tx.cheap_tokens(t).alias("cheap"), (tx.cheap_tokens(t) <= 500).alias("one_chunk"), tx.token_range(t, F.lit(5), F.lit(10)).alias("part"))
 
 
 @query("content_hash_dups", "SELECT sha256(text) AS content_hash, min(doc_id) AS keep_id, count(*)::BIGINT AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -159,7 +159,7 @@ TERMS = f"WITH t AS (SELECT doc_id AS id, unnest({TOPIC.format('text')}) AS term
 
 @query("topic_terms", TERMS + " SELECT id, term, n, rank FROM top")
 def topic_terms(spark, d):
-    return provenance.topic_terms(table(spark, d, "documents"), ident="doc_id", text="text")
+    return provenance.topic_terms(texts(spark, d), ident="doc_id", text="text")
 
 
 @query("topic_overlap", TERMS + """, y AS (SELECT id, source, list_sort(list(term)) AS s FROM top JOIN documents ON doc_id = id GROUP BY 1, 2),
@@ -168,7 +168,7 @@ m AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM e a JOIN e b ON a.term = b
 p AS (SELECT id_a, id_b, x.source AS source_a, w.source AS source_b, x.copies AS copies_a, w.copies AS copies_b, list_sort(list_intersect(x.s, w.s)) AS shared, least(x.n, w.n) AS k FROM m JOIN z x ON x.id = id_a JOIN z w ON w.id = id_b)
 SELECT id_a, id_b, source_a, source_b, copies_a, copies_b, array_to_string(shared, ',') AS shared, round(len(shared) / k, 6) AS overlap FROM p WHERE round(len(shared) / k, 6) > 0.3""")
 def topic_overlap(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     terms = provenance.topic_terms(docs, ident="doc_id", text="text").select("id", "term")
     found = provenance.topic_overlaps(terms, docs.select(F.col("doc_id").alias("id"), "source"))
     return found.withColumn("shared", F.array_join("shared", ","))
@@ -190,24 +190,24 @@ def curated_haystack(spark, d):
 @query("line_offsets", "SELECT doc_id, (strlen(text) - strlen(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, CASE WHEN contains(text, chr(10)) THEN strlen(split_part(text, chr(10), 1)) + 1 ELSE 0 END::BIGINT AS second FROM documents")
 def line_offsets(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", graph.line_count(t).alias("n_lines"), graph.line_offset(t, F.lit(2)).alias("second"))
+    return texts(spark, d).select("doc_id", graph.line_count(t).alias("n_lines"), graph.line_offset(t, F.lit(2)).alias("second"))
 
 
 @query("line_starts", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1)::INT AS line FROM l) SELECT doc_id::VARCHAR AS path, line, coalesce(sum(strlen(x) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"at\" FROM u")
 def line_starts(spark, d):
-    return graph.line_starts(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
+    return graph.line_starts(texts(spark, d).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
 
 
 @query("range_apply", "WITH l AS (SELECT doc_id, text, regexp_split_to_array(regexp_replace(text, '\\r?\\n$', ''), '\\r?\\n') AS l FROM documents) SELECT doc_id, array_to_string(l[2:3], chr(10)) AS lines, CASE WHEN len(l) >= 2 THEN l[2] ELSE '' END AS one, '2-3' AS locator FROM l")
 def range_apply(spark, d):
     t = F.col("text")
     asked = ranges.parse_range(F.lit("L2-L3"))
-    return table(spark, d, "documents").select("doc_id", ranges.apply_range(t, asked).alias("lines"), ranges.apply_range(t, ranges.parse_range(F.lit("2"))).alias("one"), ranges.locator(asked).alias("locator"))
+    return texts(spark, d).select("doc_id", ranges.apply_range(t, asked).alias("lines"), ranges.apply_range(t, ranges.parse_range(F.lit("2"))).alias("one"), ranges.locator(asked).alias("locator"))
 
 
 @query("quote_grounding", f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON length(trim(regexp_replace(lower(b.text), '{WS}', ' ', 'g'))) >= 10 AND contains(trim(regexp_replace(lower(d.text), '{WS}', ' ', 'g')), trim(regexp_replace(lower(b.text), '{WS}', ' ', 'g')))")
 def quote_grounding(spark, d):
     """Documents that hold a benchmark text apart from case and white space."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), tx.squeezed(F.col("text")).alias("text"))
+    docs = texts(spark, d).select(F.col("doc_id").alias("id"), tx.squeezed(F.col("text")).alias("text"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.squeezed(F.col("text")).alias("needle")).where(F.length("needle") >= 10)
     return lexical.holding(docs, items).toDF("item_id", "doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import protocol as p, text as tx
 from ..operators import render
-from ..registry import query, table
+from ..registry import query, table, texts
 from ..sources import records
 from .documents import TOPIC, WS
 
@@ -60,7 +60,7 @@ SELECT m.doc_id, CASE WHEN n < 20 THEN NULL WHEN share > 70 THEN 'word_dominance
   WHEN s IS NOT NULL THEN 'line_repetition: ''' || left(s.x, 60) || '...'' ×' || -s.k || ' (first at byte ' || strlen(split_part(text, s.x, 1)) || ')' END AS reason
 FROM m LEFT JOIN t USING (doc_id)""")
 def loop_detect(spark, d):
-    return table(spark, d, "documents").select("doc_id", p.detect_loop(F.col("text")).alias("reason"))
+    return texts(spark, d).select("doc_id", p.detect_loop(F.col("text")).alias("reason"))
 
 
 PAIRS = "WITH t AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), q AS (SELECT * FROM t WHERE b IS NOT NULL)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EXPAND_CAP
 from ..functions.text import index_tokens
 from ..operators import evaluation, fusion, graph, knn, lexical
-from ..registry import query, table
+from ..registry import query, table, texts
 from .sql import BM25, EDGES, HYBRID, SEEDS, TOKENS, ranked_sql
 
 K = 10
@@ -51,7 +51,7 @@ def corpus_stats(spark, d):
 
 @query("index_tokens", TOKENS + ", c AS (SELECT id, count(*)::BIGINT AS n, count(DISTINCT term)::BIGINT AS n_distinct, min(term) AS first_term, max(term) AS last_term FROM tok GROUP BY id) SELECT * FROM c")
 def tokens(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), index_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    rows = texts(spark, d).select(F.col("doc_id").alias("id"), index_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     return rows.select("id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_min("t").alias("first_term"), F.array_max("t").alias("last_term"))
 
 
@@ -204,7 +204,7 @@ GOLD = BM25 + ", h AS (SELECT * FROM (" + ranked_sql("bm", 50) + ")), gold AS (S
 
 def _gold(spark, d):
     """Documents that hold a benchmark text as it stands."""
-    docs, items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
+    docs, items = texts(spark, d).select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
     return lexical.holding(docs, items)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import admission, curation, workspace
-from ..registry import query, table
+from ..registry import query, table, texts
 from .documents import TOPIC, WORDS, WS
 from .retrieval import K, bm25_hits
 from .sql import BM25, ranked_sql
@@ -46,8 +46,8 @@ SELECT query_id, id, rank, disposition FROM s WHERE rank > 0"""
 
 
 def _hits(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", tx.token_count(F.col("text")).alias("tokens"))
-    return bm25_hits(spark, d, 3 * K).join(docs, "id")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return bm25_hits(spark, d, 3 * K).join(docs, "id").withColumn("tokens", tx.token_count(F.col("text"))).drop("text")
 
 
 @query("clamp_dispositions", CLAMP)
@@ -83,7 +83,7 @@ def refresh_scores(spark, d):
 
 @query("eviction_notes", f"SELECT doc_id, 'Evicted (relevance decayed to 0.50) during query about ''' || lang || '''. Source: ' || source || '. Topic: ' || CASE WHEN strlen(t) <= 120 THEN t ELSE left(t, 117) || '...' END AS note FROM (SELECT *, regexp_replace(text, '^{WS}|{WS}$', '', 'g') AS t FROM documents)")
 def eviction_notes(spark, d):
-    return table(spark, d, "documents").select("doc_id", workspace.eviction_note(F.lit(0.5), F.col("lang"), F.col("source"), F.col("text")).alias("note"))
+    return texts(spark, d).select("doc_id", workspace.eviction_note(F.lit(0.5), F.col("lang"), F.col("source"), F.col("text")).alias("note"))
 
 
 @query("note_header", "SELECT conv_id, turn, '[Prior session notes for this source:' || chr(10) || '- b' || chr(10) || '- c' || chr(10) || '(1 older eviction(s) omitted)' || chr(10) || ']' || chr(10) || chr(10) || text AS noted, text AS plain FROM conversations")
@@ -178,7 +178,7 @@ def curate_history(spark, d):
 @query("budget_check", f"WITH t AS (SELECT doc_id, greatest(len({WORDS}), 1) AS used FROM documents) SELECT doc_id, CASE WHEN used > 400 THEN 'Exceeded' WHEN used > 320 THEN 'Warning' ELSE 'Ok' END AS status, CASE WHEN used > 400 THEN 'System prompt uses ' || used || ' tokens, exceeding budget of 400 by ' || used - 400 WHEN used > 320 THEN 'System prompt uses ' || used || ' tokens (' || printf('%.0f', used * 100.0 / 400) || '% of 400 budget)' END AS message FROM t")
 def budget_check(spark, d):
     x = curation.check_budget(tx.token_count(F.col("text")), 400)
-    return table(spark, d, "documents").select("doc_id", x.alias("x")).select("doc_id", "x.status", "x.message")
+    return texts(spark, d).select("doc_id", x.alias("x")).select("doc_id", "x.status", "x.message")
 
 
 @query("truncate_budget", rf"""
@@ -189,7 +189,7 @@ k AS (SELECT doc_id, string_agg(text, '' ORDER BY i) AS kept, max(cum) AS used F
 SELECT b.doc_id, CASE WHEN total <= 100 THEN b.text ELSE coalesce(kept, '') END AS kept, CASE WHEN total <= 100 THEN 0 ELSE greatest(total - coalesce(used, 0), 0) END::BIGINT AS dropped FROM b LEFT JOIN k USING (doc_id)
 """)
 def truncate_budget(spark, d):
-    return table(spark, d, "documents").select("doc_id", curation.truncate_to_budget(F.col("text"), 100).alias("x")).select("doc_id", "x.kept", "x.dropped")
+    return texts(spark, d).select("doc_id", curation.truncate_to_budget(F.col("text"), 100).alias("x")).select("doc_id", "x.kept", "x.dropped")
 
 
 @query("tool_compression", rf"""
@@ -199,4 +199,4 @@ SELECT doc_id, text AS summary, greatest(len({WORDS}), 1)::BIGINT AS summary_tok
 """)
 def tool_compression(spark, d):
     x = curation.compress_tool_output(F.lit("grep"), F.col("text"), tx.token_count(F.col("text")), 300)
-    return table(spark, d, "documents").select("doc_id", x.alias("x")).where("x IS NOT NULL").select("doc_id", "x.summary", "x.summary_tokens")
+    return texts(spark, d).select("doc_id", x.alias("x")).where("x IS NOT NULL").select("doc_id", "x.summary", "x.summary_tokens")

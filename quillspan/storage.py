@@ -70,3 +70,17 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     """A digest of the names, sizes and times of a table's files: another one if the table was written anew."""
     fs, at = file_system(spark, path)
     return hashlib.sha256("\n".join(sorted(f"{s.getPath()}|{s.getLen()}|{s.getModificationTime()}" for s in fs.listStatus(at))).encode()).hexdigest()[:24]
+
+
+def dealt(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose rows all cores share.
+
+    A table of fewer bytes than its cores could take in one split each (often a single row group) keeps
+    most of them idle; such a table is dealt out anew, of the columns that are read alone.  Larger ones
+    are read as they lie.
+    """
+    fs, at = file_system(spark, path)
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    rows = spark.read.parquet(path)
+    return rows.repartition(cores) if fs.getContentSummary(at).getLength() < cores * split else rows
