@@ -80,9 +80,9 @@ def split_thinking(text: Column) -> Column:
 
 
 def line_references(text: Column) -> Column:
-    """Structs path, first, last of references like ``dir/file.ext:3-9``; last is first at least."""
+    """Structs path, first, last of references like ``dir/file.ext:3-9``; last is first at least, numbers past 64 bits are null."""
     paths, first, last = (_all(text, LINE_REFERENCE, g) for g in (1, 2, 3))
-    return F.transform(F.arrays_zip(paths.alias("a"), first.alias("b"), last.alias("c")), lambda z: F.struct(z["a"].alias("path"), z["b"].cast("long").alias("first"), F.greatest(z["b"].cast("long"), F.nullif(z["c"], F.lit("")).cast("long")).alias("last")))
+    return F.transform(F.arrays_zip(paths.alias("a"), first.alias("b"), last.alias("c")), lambda z: F.struct(z["a"].alias("path"), z["b"].try_cast("long").alias("first"), F.greatest(z["b"].try_cast("long"), z["c"].try_cast("long")).alias("last")))
 
 
 def strip_markers(text: Column) -> Column:

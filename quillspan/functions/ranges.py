@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import item, token_range
+from .text import bound, item, token_range
 
 HEADING = r"^[ \t]*(#+)"
+#: What a number past 64 bits counts as.
+MOST = 2**63 - 1
 
 
 def parse_range(spec: Column) -> Column:
@@ -16,7 +18,7 @@ def parse_range(spec: Column) -> Column:
     tokens, lines, one = r"^T(\d+):(\d+)$", r"^L?(\d+)-L?(\d+)$", r"^L?(\d+)$"
 
     def made(kind: str, first: Column | None = None, last: Column | None = None, path: Column | None = None) -> Column:
-        number = lambda c: (c if c is not None else F.lit(None)).cast("long")
+        number = lambda c: F.coalesce(c.try_cast("long"), F.lit(MOST)) if c is not None else F.lit(None).cast("long")
         return F.struct(F.lit(kind).alias("kind"), number(first).alias("first"), number(last).alias("last"), (path if path is not None else F.lit(None)).cast("array<string>").alias("path"), s.alias("raw"))
 
     group = lambda pattern, g: F.regexp_extract(s, pattern, g)
@@ -42,18 +44,18 @@ def text_lines(text: Column) -> Column:
 
 def heading_section(text: Column, heading: Column) -> Column:
     """From the first heading with this text to the next of its level or above; empty if there is none."""
-    begin = F.struct(F.lit(0).alias("level"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("kept"))
+    lines = text_lines(text)
+    told = F.transform(lines, lambda x: F.struct(F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.trim(F.regexp_replace(x, r"^[ \t]*#+", "")).alias("title"), x.alias("line")))
+    at = lambda marks: F.coalesce(F.array_position(marks, True), F.lit(0)).cast("int")
 
-    def step(s: Column, line: Column) -> Column:
-        marks = F.regexp_extract(line, HEADING, 1)
-        level = F.length(marks)
-        title = F.trim(F.regexp_replace(line, r"^[ \t]*#+", ""))
-        opens = (s["level"] == 0) & ~s["over"] & (level > 0) & (title == heading)
-        closes = (s["level"] > 0) & (level > 0) & (level <= s["level"])
-        inside = opens | ((s["level"] > 0) & ~closes)
-        return F.struct(F.when(opens, level).when(closes, 0).otherwise(s["level"]).alias("level"), (s["over"] | closes).alias("over"), F.when(inside, F.concat(s["kept"], F.array(line))).otherwise(s["kept"]).alias("kept"))
+    def section(t: Column) -> Column:
+        opens = at(F.transform(t, lambda x: (x["level"] > 0) & F.coalesce(x["title"] == heading, F.lit(False))))
+        level, rest = item(t, F.greatest(opens, F.lit(1)))["level"], F.slice(t, opens + 1, F.size(t))
+        closes = at(F.transform(rest, lambda x: (x["level"] > 0) & (x["level"] <= level)))
+        count = F.when(closes > 0, closes).otherwise(F.size(t))
+        return F.when(opens > 0, F.array_join(F.transform(F.slice(t, opens, count), lambda x: x["line"]), "\n")).otherwise("")
 
-    return F.array_join(F.aggregate(text_lines(text), begin, step, lambda s: s["kept"]), "\n")
+    return bound(told, section)
 
 
 def apply_range(text: Column, parsed: Column) -> Column:
@@ -64,7 +66,7 @@ def apply_range(text: Column, parsed: Column) -> Column:
     cut = F.array_join(F.slice(lines, first.cast("int"), count), "\n")
     return (
         F.when(parsed["kind"] == "lines", F.when(first > F.size(lines), "").otherwise(cut))
-        .when(parsed["kind"] == "tokens", token_range(text, parsed["first"].cast("int"), parsed["last"].cast("int")))
+        .when(parsed["kind"] == "tokens", token_range(text, *(F.least(parsed[x], F.lit(2**31 - 2)).cast("int") for x in ("first", "last"))))
         .when(parsed["kind"] == "heading", F.when(F.size(parsed["path"]) > 0, heading_section(text, item(parsed["path"], -1))).otherwise(text))
         .otherwise(text)
     )

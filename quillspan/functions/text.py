@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r \x{85}\p{Z}]+"
 #: Words that carry no topic.  Fixed values.
 STOPWORDS = (
-    "the and for are but not you all can has was one our out his her had how its may who did get let say she too use way "
-    "with this that from have been they them then than each which their will would there what about could other into more "
-    "some very when also just should"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "has", "was", "one", "our", "out", "his", "her", "had", "how", "its", "may", "who", "did", "get", "let", "say", "she", "too",
+    "use", "way", "with", "this", "that", "from", "have", "been", "they", "them", "then", "than", "each", "which", "their", "will", "would", "there", "what", "about", "could", "other", "into",
+    "more", "some", "very", "when", "also", "just", "should",
+)
 #: Places inside an alphanumeric run where a subword begins: before capitals, before the last
 #: capital of an acronym, between letters and digits.  Applied in this order, with a mark between.
 SUBWORD_BREAKS = (r"([\p{L}\p{N}&&\P{Lu}])(\p{Lu})", r"(\p{Lu})(\p{Lu}\p{Ll})", r"(\p{L})([0-9])", r"([0-9])(\p{L})")

@@ -11,7 +11,7 @@ from ..functions.text import item, token_count
 from ..functions.protocol import trimmed
 
 #: Words that make a sentence worth keeping.  Fixed values.
-SIGNALS = "decided conclusion result therefore established confirmed found error fixed changed updated created deleted moved renamed".split()
+SIGNALS = ("decided", "conclusion", "result", "therefore", "established", "confirmed", "found", "error", "fixed", "changed", "updated", "created", "deleted", "moved", "renamed")
 
 
 def partition_turns(turns: DataFrame, budget: int, history: History = History(), conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -49,6 +49,7 @@ def compress_tool_output(name: Column, output: Column, tokens: Column, threshold
     """Struct summary, summary_tokens; null at or below the threshold."""
     lines = text_lines(output)
     n = F.size(lines)
+    # the preview's wording is fixed text
     lead = F.concat(F.lit("[tool: "), name, F.lit("] "), n.cast("string"), F.lit(" lines of output. Preview:\n"), F.array_join(F.slice(lines, 1, 3), "\n"))
     tail = F.concat(F.lit("\n  ... ("), (n - 5).cast("string"), F.lit(" lines omitted) ...\n"), F.array_join(F.slice(lines, F.greatest(n - 1, F.lit(1)), 2), "\n"), F.lit("\nFull results available via recall."))
     text = F.when(n > 5, F.concat(lead, tail)).otherwise(lead)

@@ -26,6 +26,35 @@ def recall_precision(retrieved: DataFrame, expected: DataFrame, k: int) -> DataF
     return out.select("query_id", "hits", ratio(F.col("hits"), F.col("want"), 1.0).alias("recall"), ratio(F.col("hits"), F.col("n"), 1.0).alias("precision"))
 
 
+def path_metrics(loaded: DataFrame, expected: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, recall, stub_recall, relevance, precision_at_1, mrr of loaded paths against expected ones.
+
+    ``loaded``: query_id, path, rank, stub (only its descriptor is there); ``expected``: query_id, path,
+    each row counts.  All but ``stub_recall`` are of bodies alone, ranked among themselves.  Paths match if
+    they are equal or one ends the other after a slash, so they have their last part in common: that is
+    the key they meet by.  Nothing expected: recalls and mrr 1; no bodies: relevance and precision 0.
+    """
+    from ..functions.text import path_matches
+
+    part = lambda c: F.substring_index(c, "/", -1).alias("part")
+    place = F.row_number().over(Window.partitionBy("query_id", "stub").orderBy("rank", "path"))
+    have = loaded.select("query_id", "path", "stub", part("path"), place.alias("place"))
+    want = expected.groupBy("query_id", F.col("path").alias("want")).agg(F.count("*").alias("times")).select("*", part("want"))
+    met = want.join(have, ["query_id", "part"]).where(path_matches(F.col("path"), F.col("want")))
+    body = ~F.col("stub")
+    found = met.groupBy("query_id", "want").agg(F.min(F.when(body, F.col("place"))).alias("first"))
+    recalled = want.join(found.withColumn("any", F.lit(True)), ["query_id", "want"], "left").groupBy("query_id").agg(
+        F.sum("times").alias("n"), F.sum(F.when(F.col("first").isNotNull(), F.col("times")).otherwise(0)).alias("bodies"), F.sum(F.when(F.col("any"), F.col("times")).otherwise(0)).alias("some"), F.sum(F.coalesce(F.col("times") / F.col("first"), F.lit(0.0))).alias("reciprocal")
+    )
+    right = met.where(body).select("query_id", "place").distinct().groupBy("query_id").agg(F.count("*").alias("right"), F.max((F.col("place") == 1).cast("double")).alias("top"))
+    count = have.where(body).groupBy("query_id").agg(F.count("*").alias("held"))
+    every = loaded.select("query_id").union(expected.select("query_id")).distinct()
+    out = every.join(recalled, "query_id", "left").join(right, "query_id", "left").join(count, "query_id", "left")
+    share = lambda a, b, empty: F.round(ratio(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)), empty), digits)
+    n, held = F.col("n"), F.col("held")
+    return out.select("query_id", share(F.col("bodies"), n, 1.0).alias("recall"), share(F.col("some"), n, 1.0).alias("stub_recall"), share(F.col("right"), held, 0.0).alias("relevance"), F.coalesce("top", F.lit(0.0)).alias("precision_at_1"), share(F.col("reciprocal"), n, 1.0).alias("mrr"))
+
+
 def first_gold(retrieved: DataFrame, gold: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """query_id, gold_rank (null: missed)."""
     found = retrieved.join(gold.select("query_id", "id").distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").cast("long").alias("gold_rank"))
@@ -272,7 +301,7 @@ def whitened(vectors: DataFrame, components: int, ident: str = "id", vector: str
 
 
 def diagnose_misses(misses: DataFrame, cutoff: int = 10) -> Column:
-    """Why a gold was missed, from status, cosine_rank, bm25_rank, overlap, summary_len."""
+    """Why a gold was missed, from status, cosine_rank, bm25_rank, overlap, summary_len.  The reasons are fixed texts."""
     found = lambda c: F.coalesce(F.col(c) <= cutoff, F.lit(False))
     status = F.col("status")
     return (

@@ -53,8 +53,12 @@ def coverage_first(hits: DataFrame, source: str = "source") -> DataFrame:
     return later.withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy("again", "rank"))).drop("again")
 
 
+#: What an inventory question is searched with.  Fixed text.
+INVENTORY = " files paths artifacts names list"
+
+
 def inventory_query(text: Column) -> Column:
-    return F.concat(text, F.lit(" files paths artifacts names list"))
+    return F.concat(text, F.lit(INVENTORY))
 
 
 def rewrite_scores(hits: DataFrame, *, explanation: Column, query: Column, kind: str = "kind", path: str = "path", boost: float = 1.5, most_code: int = 5, penalty: float = 0.25, doc_suffix: str = ".md", penal_path: str = "bench", penal_terms: tuple[str, ...] = ("benchmark", "bench", "score", "niah", "workload", "precision", "recall@k")) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EXPAND_CAP, EXPAND_DISCOUNT
+from ..storage import replaced
 
 
 def line_count(text: Column) -> Column:
@@ -52,6 +53,15 @@ def build_edges(links: DataFrame, *, relations: list[str] | None = None, confide
     return edges, told.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def write_edges(edges: DataFrame, path: str) -> DataFrame:
+    """The edges in place of whatever ``path`` held, and the table as it then is.
+
+    A new folder is written whole and takes the old one's place, so what is read may be what is replaced.
+    """
+    unique = edges.groupBy("src", "dst", "relation").agg(F.max("weight").alias("weight"))
+    return replaced(unique, path)
+
+
 def neighbours(seeds: DataFrame, edges: DataFrame, relations: list[str]) -> DataFrame:
     """query_id, seed, neighbour, relation, weight, seed_score; edges between two seeds give two rows."""
     kept = edges.where(F.col("relation").isin(relations)) if relations else edges.where(F.lit(False))

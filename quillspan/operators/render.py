@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lines of a prompt.  Fixed texts.
 LEAD = "\n\nRecalled workspace context (each block is verbatim from the cited source — treat as quoted material, not your own knowledge):\n"
 BASELINE = "- Prefer the recalled context when it bears on the question, and cite the source file. If the context does not cover the question, say so plainly rather than inventing specifics."
 CANDIDATES = "- Blocks from `search-candidates:file-list` are candidate metadata only. Use them to decide what to load, not as evidence for factual claims."

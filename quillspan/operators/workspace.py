@@ -13,6 +13,7 @@ from ..functions.text import bound, clipped, overlap_topics, words
 
 #: Phrases of an answer that has none.  Fixed values, in lower case so that they can match.
 HEDGES = ("no specific information", "no information available", "no information provided", "i don't have", "i cannot find", "there is no information", "there is no specific")
+#: Wording of a note's head.  Fixed text.
 NOTES_HEAD = "[Prior session notes for this source:\n"
 
 
@@ -140,33 +141,70 @@ def probe_rate(events: DataFrame, *, user: str = "user_id", seconds: str = "seco
     return events.withColumn("in_window", number - expired).withColumn("throttled", F.col("in_window") >= limit)
 
 
-def run_turn(question: str, retrieve: Callable[[list[str]], DataFrame], complete: Callable[[str, list[dict]], str], *, budget: int, recall: Recall = Recall(), quality: Callable[[str], float] = lambda a: float(len(a.split()))) -> dict:
+def with_history(retrieve: Callable[[list[str]], DataFrame], search: Callable[[list[str]], DataFrame]) -> Callable[[list[str]], DataFrame]:
+    """``retrieve`` with what ``search`` finds in earlier sessions (:func:`..sources.records.session_stubs`) among it, best first."""
+    return lambda texts: retrieve(texts).unionByName(search(texts), allowMissingColumns=True).orderBy(F.desc("score"), "id")
+
+
+def named(source: str, path: str) -> bool:
+    """Whether a source is what a reference names: one ends the other."""
+    source = source.removeprefix("./")
+    return source.endswith(path) or path.endswith(source)
+
+
+def run_turn(question: str, retrieve: Callable[[list[str]], DataFrame], complete: Callable[[str, list[dict]], str], *, budget: int, recall: Recall = Recall(), quality: Callable[[str], float] = lambda a: float(len(a.split())), read_range: Callable[[str, int, int], dict | None] | None = None) -> dict:
     """One conversational turn: retrieve, answer, then up to ``max_passes`` refinements; the best answer is kept.
 
     ``retrieve`` takes query texts and gives id, source, tokens, score, content, best first; each pass
-    asks it once for all its probes and thinking steps.  ``complete`` is the injected model.  The
-    driver holds one session's workspace alone: at most ``max_fragments`` rows.
+    asks it once for all its probes and thinking steps.  ``complete`` is the injected model.  With
+    ``read_range`` (id, first, last line: tokens and content, or None), lines that an answer refers to
+    (``file.ext:3-9``) are loaded too: of a resident stub in its place, else of what is found for the
+    path.  Fragments of earlier sessions take ``history_share`` of the budget at most and have no source
+    cap.  The driver holds one session's workspace alone: at most ``max_fragments`` rows.
     """
     import re
 
+    from ..functions.protocol import LINE_REFERENCE
+    from ..sources.records import HISTORY
+
     loaded: dict[str, dict] = {}
     trace: list[dict] = []
+    used = lambda: sum(f["tokens"] for f in loaded.values())
 
     def load(texts: list[str]) -> int:
         new = 0
         per: dict[str, int] = {}
         for f in loaded.values():
             per[f["source"]] = per.get(f["source"], 0) + 1
+        past = sum(f["tokens"] for f in loaded.values() if f["source"] == HISTORY)
         for r in retrieve(texts).limit(recall.max_candidates).collect():
-            used = sum(f["tokens"] for f in loaded.values())
+            old = r["source"] == HISTORY
+            fits = past + r["tokens"] <= int(budget * recall.history_share) if old else per.get(r["source"], 0) < recall.per_source
             if r["id"] in loaded:
                 loaded[r["id"]]["score"] = max(loaded[r["id"]]["score"], r["score"])
-            elif len(loaded) < recall.max_fragments and r["score"] >= recall.thresholds.load and per.get(r["source"], 0) < recall.per_source and used + r["tokens"] <= budget:
+            elif len(loaded) < recall.max_fragments and r["score"] >= recall.thresholds.load and fits and used() + r["tokens"] <= budget:
                 loaded[r["id"]] = r.asDict()
                 per[r["source"]] = per.get(r["source"], 0) + 1
+                past += r["tokens"] if old else 0
                 new += r["tokens"]
         return new
 
+    def load_lines(answer: str) -> int:
+        new = 0
+        for path, first, last in re.findall(LINE_REFERENCE, answer) if read_range else ():
+            first, last = int(first), max(int(first), int(last or first))
+            there = next((f for f in loaded.values() if named(f["source"], path)), None)
+            if there and there.get("locator") != "stub":
+                continue  # its body is there
+            if not there and len(loaded) >= recall.max_fragments:
+                break
+            hit = there or next((r.asDict() for r in retrieve([path]).limit(5).collect() if named(r["source"], path)), None)
+            part = read_range(hit["id"], first, last) if hit else None
+            if part and used() - (there["tokens"] if there else 0) + part["tokens"] <= budget:
+                new += part["tokens"]
+                loaded[hit["id"]] = {**hit, **part, "locator": f"{first}-{last}" if last > first else str(first), "score": max(hit["score"], recall.thresholds.load)}
+        return new
+
     load([question])
     answer = complete(question, list(loaded.values()))
     best = (quality(answer), answer)
@@ -174,8 +212,8 @@ def run_turn(question: str, retrieve: Callable[[list[str]], DataFrame], complete
         for f in loaded.values():
             f["score"] *= recall.decay
         queries = re.findall(r"<probe>(.*?)</probe>", answer) + [s for s in re.findall(r"(?s)<think>(.*?)</think>", answer) if len(s.encode()) >= 20]
-        new = load(queries) if queries else 0
-        total = sum(f["tokens"] for f in loaded.values())
+        new = (load(queries) if queries else 0) + load_lines(answer)
+        total = used()
         for f in sorted(loaded.values(), key=lambda f: (f["score"], f["id"])):
             if f["score"] >= recall.thresholds.unload and total <= budget:
                 break

@@ -57,7 +57,7 @@ GRAPH = "nodes array<struct<id:string,source_file:string,source_location:string>
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, path, line; line 0 where unknown) and edges (source, target, relation, confidence, weight)."""
     raw = spark.read.option("multiLine", True).schema(GRAPH).json(path)
-    nodes = raw.select(F.explode("nodes").alias("n")).select(F.col("n.id").alias("node"), F.col("n.source_file").alias("path"), F.coalesce(F.nullif(F.regexp_extract("n.source_location", r"L?(\d+)", 1), F.lit("")).cast("long"), F.lit(0).cast("long")).alias("line"))
+    nodes = raw.select(F.explode("nodes").alias("n")).select(F.col("n.id").alias("node"), F.col("n.source_file").alias("path"), F.coalesce(F.regexp_extract("n.source_location", r"L?(\d+)", 1).try_cast("long"), F.lit(0).cast("long")).alias("line"))
     return nodes, raw.select(F.explode("edges").alias("e")).select("e.*")
 
 
@@ -82,11 +82,27 @@ def parse_sessions(files: DataFrame, content: str = "content") -> DataFrame:
     sections = F.split(F.concat(F.lit("\n"), F.col(content)), r"\n## Turn ")
     rows = files.select("*", F.explode(F.filter(sections, lambda s: s.rlike(r"^\d"))).alias("section"))
     said = _field(F.col("section"), "[Assistant]: ")
-    rows = rows.withColumn("turn", F.regexp_extract("section", r"^(\d+)", 1).cast("long")).withColumn("user", _field(F.col("section"), "[User]: "))
+    rows = rows.withColumn("turn", F.regexp_extract("section", r"^(\d+)", 1).try_cast("long")).withColumn("user", _field(F.col("section"), "[User]: "))
     rows = rows.withColumn("assistant", F.when((said != "") & ~F.startswith(said, F.lit(DEGENERATE.strip())), said))
     return rows.where("user != ''").drop("section")
 
 
+#: What fragments of earlier sessions name as their source.  Fixed text.
+HISTORY = "session history"
+
+
+def session_stubs(files: DataFrame, session: str = "session") -> DataFrame:
+    """Turns of earlier sessions as what a turn may recall: id, source, tokens, content, session, turn.
+
+    ``files``: session, content.  Turns whose answer was degenerate or empty are left out.
+    """
+    from ..functions.text import token_count
+
+    turns = parse_sessions(files).where("assistant IS NOT NULL")
+    said = F.concat(F.lit("User: "), "user", F.lit("\nAssistant: "), "assistant")
+    return turns.select(F.concat(F.col(session).cast("string"), F.lit("#turn"), F.col("turn").cast("string")).alias("id"), F.lit(HISTORY).alias("source"), token_count(said).alias("tokens"), said.alias("content"), session, "turn")
+
+
 def transcript_documents(lines: DataFrame, *, session: str = "session", mtime: str = "mtime") -> DataFrame:
     """Coding sessions (session, n, line: JSON, mtime) as documents: text and thinking blocks of user and assistant.
 

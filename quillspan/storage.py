@@ -66,6 +66,18 @@ def moved(spark: SparkSession, old: str, new: str) -> None:
         fs.delete(at, True)
 
 
+def replaced(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as the table at ``path``: written beside it, then moved into its place."""
+    spark = df.sparkSession
+    made = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(made)
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+    if not fs.rename(file_system(spark, made)[1], at):
+        raise OSError(f"{made} could not be moved to {path}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """A digest of the names, sizes and times of a table's files: another one if the table was written anew."""
     fs, at = file_system(spark, path)
