@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import documents, evaluation, protocol, retrieval, workspace  # noqa: F401
+from .plans import content, documents, evaluation, protocol, retrieval, workspace  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -133,7 +133,7 @@ def _votes(spark, d):
     bit = lambda c: F.when(c, "true").otherwise("false")
     q = F.col("l_quantity").cast("int")
     raw = F.concat(F.lit('Sure: {"is_explanation": '), bit(q % 2 == 0), F.lit(', "is_status_request": '), bit(q % 3 == 0), F.lit(', "needs_git_status": '), bit(q % 5 == 0), F.lit(', "note": "a } brace", "confidence": '), (F.col("l_discount") * 10 + 0.25).cast("string"), F.lit("} done"))
-    return texts(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), "l_linenumber", "l_partkey", intent.parse_intent(raw).alias("intent"))
+    return texts(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), "l_linenumber", "l_partkey", "l_suppkey", intent.parse_intent(raw).alias("intent"))
 
 
 @query("intent_parse", "SELECT l_orderkey AS \"case\", l_linenumber, l_partkey, l_quantity::INT % 2 = 0 AS wants_explanation, l_quantity::INT % 3 = 0 AS is_status_request, round(least(1.0, l_discount * 10 + 0.25), 6)::DOUBLE AS confidence, CASE WHEN l_quantity::INT % 5 = 0 THEN 'needs_git_status' ELSE '' END AS hints, l_quantity::INT % 2 = 0 OR l_quantity::INT % 3 = 0 AS substantive, least(1.0, l_discount * 10 + 0.25) >= 0.5 AS actionable, 1 + (l_quantity::INT % 2 = 0)::INT + (l_quantity::INT % 3 = 0)::INT + (l_quantity::INT % 5 = 0)::INT AS lines FROM lineitem")
