@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..config import Chunking
 from ..functions import protocol, ranges, text as tx
 from ..operators import evaluation, fusion, graph, ingest, intent, provenance, stubs, workspace
 from ..registry import query, table, texts
@@ -242,3 +243,20 @@ def vector_moments(spark, d):
     n, sums, products = evaluation.second_moments(vectors, "v", size)
     cov = products / n - (sums / n)[:, None] * (sums / n)[None, :]
     return spark.createDataFrame([(i + 1, j + 1, round(float(cov[i, j]), 8)) for i in range(size) for j in range(i, size)], "i int, j int, covariance double")
+
+
+@query("line_chunks", r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS t FROM documents), l AS (SELECT *, strlen(t) AS n FROM t),
+s AS (SELECT doc_id, -1 AS idx, 0::BIGINT AS a, 0::BIGINT AS b FROM l WHERE n // 3 > 500
+  UNION ALL
+  SELECT doc_id, idx, a, CASE WHEN n - a <= 1800 THEN n WHEN ahead > 0 THEN a + 1400 + ahead WHEN back > 0 THEN a + 1800 - back + 1 ELSE a + 1800 END
+  FROM (SELECT l.doc_id, idx + 1 AS idx, b AS a, n, strpos(substr(t, b + 1401, 400), chr(10)) AS ahead, strpos(reverse(substr(t, b + 1, 1800)), chr(10)) AS back FROM s JOIN l ON l.doc_id = s.doc_id WHERE b < n)),
+o AS (SELECT s.*, t, greatest(a - 280, 0) AS p, greatest(greatest(a - 280, 0) - 280, 0) AS low FROM s JOIN l USING (doc_id) WHERE idx >= 0),
+k AS (SELECT *, CASE WHEN strpos(reverse(substr(t, low + 1, p - low)), chr(10)) > 0 THEN p - strpos(reverse(substr(t, low + 1, p - low)), chr(10)) + 1 ELSE low END AS lead FROM o)
+SELECT doc_id, idx::BIGINT AS idx, count(*) OVER (PARTITION BY doc_id) AS total, a AS "start", b AS "end", b - a + CASE WHEN idx = 0 THEN 0 ELSE a - lead + CASE WHEN substr(t, a, 1) = chr(10) THEN 0 ELSE 1 END END AS bytes FROM k
+UNION ALL SELECT doc_id, 0, 1, 0, n, n FROM l WHERE n // 3 <= 500""")
+def line_chunks(spark, d):
+    """Where lines cut the documents (as ASCII, so that the SQL's characters are bytes), and how long a chunk is with its overlap."""
+    docs = texts(spark, d).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x").alias("content"))
+    cut = ingest.with_chunks(docs, path=None, config=Chunking(max_body_tokens=2**31))
+    return cut.select("doc_id", "chunk.idx", "chunk.total", "chunk.start", "chunk.end", F.octet_length("chunk.text").cast("long").alias("bytes"))

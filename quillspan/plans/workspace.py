@@ -55,7 +55,19 @@ def clamp_dispositions(spark, d):
     return admission.clamp(_hits(spark, d), 2000)
 
 
-@query("greedy_scheduler")
+#: A question's hits with their tokens; recursion over them carries a budget.
+HITS = BM25.replace("WITH ", "WITH RECURSIVE ", 1) + ", h AS (SELECT * FROM (" + ranked_sql("bm", 3 * K) + f")), c AS (SELECT query_id AS session, h.id, rank, source, greatest(len({WORDS}), 1) AS tokens FROM h JOIN documents ON doc_id = id)"
+
+
+@query("greedy_scheduler", HITS + """,
+x AS (SELECT session, 1 AS call, 'candidate' AS role, rank, id, tokens, 1.0::DOUBLE - rank / 100 AS score FROM c
+  UNION ALL SELECT session, 2, CASE WHEN rank <= 5 THEN 'loaded' ELSE 'candidate' END, rank, id, tokens, CASE WHEN rank <= 5 THEN 1.0::DOUBLE - rank / 100 ELSE 1.0::DOUBLE - rank / 100 - 0.2::DOUBLE END FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY session, call ORDER BY role DESC, rank) AS n FROM x),
+s AS (SELECT DISTINCT session, call, 0::BIGINT AS n, 0::BIGINT AS id, '' AS role, 0::BIGINT AS used, FALSE AS ok FROM x
+  UNION ALL
+  SELECT session, call, n, id, role, used + CASE WHEN ok THEN tokens ELSE 0 END, ok
+  FROM (SELECT n.*, s.used, s.used + tokens <= 1500 AND score >= CASE n.role WHEN 'loaded' THEN 0.55 ELSE 0.7 END AS ok FROM s JOIN n ON n.session = s.session AND n.call = s.call AND n.n = s.n + 1))
+SELECT session, call, id, CASE WHEN NOT ok THEN 'evicted' WHEN role = 'loaded' THEN 'keep' ELSE 'admitted' END AS decision FROM s WHERE n > 0 AND (ok OR role = 'loaded')""")
 def greedy_scheduler(spark, d):
     """Two calls a question: its hits as candidates, then the first five as loaded with the next as candidates."""
     hits = _hits(spark, d).withColumn("score", F.lit(1.0) - F.col("rank") / 100)
@@ -64,7 +76,15 @@ def greedy_scheduler(spark, d):
     return admission.schedule(first.unionByName(second), 1500)
 
 
-@query("load_fragments")
+@query("load_fragments", HITS + """,
+f AS (SELECT DISTINCT session FROM c), t AS (SELECT f.session, r.source, r.tokens FROM f LEFT JOIN c r ON r.session = f.session AND r.rank = 3),
+s AS (SELECT session, 0 AS rank, 0::BIGINT AS id, coalesce(tokens, 0)::BIGINT AS used, CASE WHEN source = 'src2' THEN tokens ELSE 0 END::BIGINT AS past, CASE WHEN source IS NULL THEN [] ELSE [source] END::VARCHAR[] AS seen, '' AS outcome FROM t
+  UNION ALL
+  SELECT session, rank, id, used + CASE WHEN outcome = 'loaded' THEN tokens ELSE 0 END, past + CASE WHEN outcome = 'loaded' AND source = 'src2' THEN tokens ELSE 0 END, CASE WHEN outcome = 'loaded' THEN list_append(seen, source) ELSE seen END, outcome
+  FROM (SELECT c.*, used, past, seen, CASE WHEN c.rank = 3 THEN 'raised' WHEN used >= 3000 THEN 'budget_full' WHEN 1 - c.rank / 60 < 0.7 THEN 'below_load' WHEN source = 'src2' AND past + tokens > 750 THEN 'history_cap'
+          WHEN source <> 'src0' AND len(list_filter(seen, lambda v: v = source)) >= 3 THEN 'source_cap' WHEN used + tokens > 3000 THEN 'too_large' ELSE 'loaded' END AS outcome
+        FROM s JOIN c ON c.session = s.session AND c.rank = s.rank + 1))
+SELECT session, id, outcome, 1 - rank / 60::DOUBLE AS score FROM s WHERE rank > 0""")
 def load_fragments(spark, d):
     c = F.col
     hits = _hits(spark, d).select(c("query_id").alias("session"), c("rank").alias("pos"), "id", "source", "tokens", (1 - c("rank") / 60).alias("score"), F.when(c("rank") == 3, 0.5).alias("resident"), (c("source") == "src2").alias("history"), (c("source") == "src0").alias("exempt"))
@@ -117,9 +137,17 @@ def probe_rate(spark, d):
     return workspace.probe_rate(e, window=43_200, limit=3).select("event_id", "user_id", "in_window", "throttled")
 
 
-@query("health_history")
+@query("health_history", """
+WITH RECURSIVE e AS (SELECT user_id AS component, event_id AS seq, event_type NOT IN ('error', 'view', 'purchase') AS ok, value AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT component, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS calls, 0::BIGINT AS errors, 0::BIGINT AS streak, 'Healthy' AS health FROM e
+  UNION ALL
+  SELECT component, n, seq, CASE WHEN turn = 'up' THEN 0 ELSE calls END, CASE WHEN turn = 'up' THEN 0 ELSE errors END, CASE WHEN turn IN ('up', 'worse') THEN 0 ELSE streak END,
+    CASE turn WHEN 'down' THEN 'Down' WHEN 'worse' THEN 'Degraded' WHEN 'up' THEN CASE WHEN health = 'Down' THEN 'Degraded' ELSE 'Healthy' END ELSE health END
+  FROM (SELECT *, CASE WHEN health <> 'Down' AND calls >= 10 AND errors / calls > 0.6 AND NOT ok THEN 'down' WHEN health = 'Healthy' AND (ms > 400 OR (calls >= 10 AND errors / calls > 0.3)) THEN 'worse' WHEN streak >= 5 AND health <> 'Healthy' THEN 'up' ELSE '' END AS turn
+        FROM (SELECT e.component, e.n, e.seq, ok, ms, health, calls + 1 AS calls, errors + (NOT ok)::INT AS errors, CASE WHEN ok THEN streak + 1 ELSE 0 END AS streak FROM s JOIN e ON e.component = s.component AND e.n = s.n + 1)))
+SELECT component, seq, health FROM s WHERE n > 0""")
 def health_history(spark, d):
-    """Each user's events as a component's calls: a state machine, held against plain Python in the tests."""
+    """Each user's events as a component's calls: a state machine, by recursion in the SQL."""
     e = table(spark, d, "events").select(F.col("user_id").alias("component"), F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "view", "purchase")).alias("ok"), F.col("value").alias("latency_ms"))
     return workspace.health_history(e, latency_limit=400.0)
 
