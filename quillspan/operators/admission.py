@@ -126,7 +126,7 @@ def evictions(loaded: DataFrame, budget: int, unload: float = Thresholds.unload,
     of that range are ordered together, all others are dealt by id.  So a session may hold any share of
     all rows.  Null scores come first.
     """
-    at = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor(F.col("score") * ranges))), F.lit(-1)).cast("int")
+    at = F.when(F.col("score").isNull(), -1).otherwise(F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor(F.col("score") * ranges))).cast("int"))
     rows = loaded.withColumn("__range", at)
     up_to = Window.partitionBy("session").orderBy("__range")
     sums = rows.groupBy("session", "__range").agg(F.sum("tokens").alias("size"))
