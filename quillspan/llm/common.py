@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from ..storage import dropped, new_path, shared_dir, stored
+
+__all__ = ["CHUNK_CHARS", "WORD", "dropped", "new_path", "row_groups", "shared_dir", "stored"]
 
 #: Words of the training-data contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,45 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_CHARS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver see, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a temporary folder is chosen if everything runs in one local process;
-    on a cluster that raises RuntimeError.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="quillspan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stored` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def row_groups(batches: Iterator[pa.RecordBatch], text: str, chars: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about ``chars`` characters of ``text`` each, and these texts (null: empty)."""
     for batch in batches:
@@ -67,7 +29,3 @@ def row_groups(batches: Iterator[pa.RecordBatch], text: str, chars: int = CHUNK_
                 part = batch.slice(start, i + 1 - start)
                 yield part, part.column(text).fill_null("").to_pylist()
                 start, held = i + 1, 0
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
