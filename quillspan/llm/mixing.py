@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
 #: Characters that lower a document's quality weight by their share.
 SYMBOLS = "#*$%&|<>"
@@ -104,9 +104,10 @@ def repeated(mixed: DataFrame, out: str = "mix") -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """The texts are read and measured once: what the mix needs of them is a small table, written and read twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     measured = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), symbol_quality(F.col("text")).alias("quality"), F.when(F.col("doc_id").isNull(), F.md5("text")).alias("stand_in"))
-    return mix_sources(measured, size=F.col("words"), quality=F.col("quality"), stand_in=F.col("stand_in")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "source", "mix.copies")
+    return mix_sources(stored(measured, "measured"), size=F.col("words"), quality=F.col("quality"), stand_in=F.col("stand_in")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "source", "mix.copies")
 
 
 #: The same without buckets: whole sources ordered by key.
