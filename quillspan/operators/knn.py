@@ -17,19 +17,8 @@ def normalized(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(doubles, lambda x: x / norm)).otherwise(doubles)
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6, blocks: tuple[int, int] | None = None) -> DataFrame:
-    """query_id, id, score, rank: the k largest inner products of ``queries`` (query_id, vector) with ``vectors`` (id, vector).
-
-    Scores are rounded to ``digits`` before they are ranked, ties go to smaller ids.  A block of
-    queries meets a block of vectors in one task and gives k rows a query, whatever the table's
-    size; counts that set the number of blocks are read from the tables.
-    """
-    if blocks is None:
-        blocks = (-(-queries.count() // QUERY_BLOCK), -(-vectors.count() // VECTOR_BLOCK))
-    n_q, n_v = (max(1, b) for b in blocks)
-    asked = queries.select("query_id", "vector").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-    held = vectors.select("id", "vector").withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    kind_q, kind_v = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
+def block_scorer(k: int, digits: int):
+    """What a task does with a block of queries and one of vectors: k rows a query, ties to smaller ids."""
 
     def block(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -50,7 +39,24 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int =
         at_q, at_v = np.concatenate(at_q), np.concatenate(at_v)
         return pa.table({"query_id": a.column("query_id").take(pa.array(at_q)), "id": b.column("id").take(pa.array(at_v)), "score": np.concatenate(scores)})
 
-    found = asked.groupBy("qb", "vb").cogroup(held.groupBy("qb", "vb")).applyInArrow(block, f"query_id {kind_q.simpleString()}, id {kind_v.simpleString()}, score double")
+    return block
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """query_id, id, score, rank: the k largest inner products of ``queries`` (query_id, vector) with ``vectors`` (id, vector).
+
+    Scores are rounded to ``digits`` before they are ranked, ties go to smaller ids.  A block of
+    queries meets a block of vectors in one task and gives k rows a query, whatever the table's
+    size; counts that set the number of blocks are read from the tables.
+    """
+    if blocks is None:
+        blocks = (-(-queries.count() // QUERY_BLOCK), -(-vectors.count() // VECTOR_BLOCK))
+    n_q, n_v = (max(1, b) for b in blocks)
+    asked = queries.select("query_id", "vector").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+    held = vectors.select("id", "vector").withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    kind_q, kind_v = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
+
+    found = asked.groupBy("qb", "vb").cogroup(held.groupBy("qb", "vb")).applyInArrow(block_scorer(k, digits), f"query_id {kind_q.simpleString()}, id {kind_v.simpleString()}, score double")
     return ranked(found, k)
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import EXPAND_CAP
 from ..functions.text import index_tokens
-from ..operators import evaluation, fusion, graph, knn, lexical
-from ..registry import query, table, texts
+from ..operators import cells, evaluation, fusion, graph, knn, lexical
+from ..registry import SQL, query, table, texts
+from ..storage import new_path
 from .sql import BM25, EDGES, HYBRID, SEEDS, TOKENS, ranked_sql
 
 K = 10
@@ -65,6 +66,27 @@ def knn_cosine(spark, d):
     return knn.cosine_topk(vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id"), vectors, K)
 
 
+def _cells(spark, d) -> cells.Cells:
+    path = new_path(spark, "cells")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), knn.normalized(F.col("embedding")).alias("vector"))
+    cells.build_cells(vectors, path)
+    return cells.open_cells(spark, path, vectors.where("vector IS NOT NULL").count())
+
+
+@query("knn_approx")
+def knn_approx(spark, d):
+    """As knn_cosine, by the nearest cells of a saved index; the tests hold its recall."""
+    index = _cells(spark, d)
+    return cells.cells_topk(index, index.vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), K)
+
+
+@query("knn_all_cells", SQL["knn_cosine"])
+def knn_all_cells(spark, d):
+    """By all cells: what the exact search gives."""
+    index = _cells(spark, d)
+    return cells.cells_topk(index, index.vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), K, probes=len(index.centroids))
+
+
 def _lists(spark, d):
     return cosine_hits(spark, d, 3 * K), bm25_hits(spark, d, 3 * K)
 

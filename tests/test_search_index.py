@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from quillspan.catalog import QUERIES
 from quillspan.config import Recall
 from quillspan.functions import protocol, ranges
 from quillspan.functions import text as tx
-from quillspan.operators import admission, curation, evaluation, graph, ingest, intent, lexical, workspace
+from quillspan.operators import admission, cells, curation, evaluation, graph, ingest, intent, knn, lexical, workspace
 from quillspan.sources import files, records
 
 ODD = [None, "", " ", "HTTPServer2Go parseURL x9y é日本 ÉCOLE", "a b c", "ABC abcDEF v2 2024 x", "ﬁ ﬂ Ⅷ ½", "\x01mark\x01", "snake_case-and-kebab", "ÄrgerÄ ÀB 9Z"]
@@ -207,3 +208,31 @@ def test_functions_bear_any_text(spark):
     assert held["L99999999999999999999"] == "" and held["5-99999999999999999999"] == "" and held["9-3"] == "" and held["#"] is not None
     assert records.parse_sessions(df.select(F.col("x").alias("content"))).count() >= 1
     assert records.transcript_documents(df.select(F.lit("s").alias("session"), F.lit(1).alias("n"), x.alias("line"), F.lit(0).alias("mtime"))).count() == 0
+
+
+def test_cells_find_neighbours(spark, tmp_path):
+    """Recall of the fitted number of cells, all of them exact, and the guard of the number of vectors."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((20, 16))
+    data = np.vstack([centres[i % 20] + 0.6 * rng.standard_normal(16) for i in range(1500)])
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(9999, None)], "id long, vector array<double>")
+    cells.build_cells(vectors, path := f"file://{tmp_path}/cells")
+    index = cells.open_cells(spark, path, 1500)
+    assert index.probes <= len(index.centroids) // 2
+    asked = vectors.where("id % 30 = 0").toDF("query_id", "vector")
+    exact = {tuple(r)[:2] for r in knn.cosine_topk(asked, vectors.where("vector IS NOT NULL"), 10).collect()}
+    assert {tuple(r)[:2] for r in cells.cells_topk(index, asked, 10, probes=len(index.centroids)).collect()} == exact
+    assert len({tuple(r)[:2] for r in cells.cells_topk(index, asked, 10).collect()} & exact) >= 0.9 * len(exact)
+    with pytest.raises(ValueError):
+        cells.open_cells(spark, path, 7)
+    cells.build_cells(vectors.limit(0), path := f"file://{tmp_path}/none")
+    assert cells.cells_topk(cells.open_cells(spark, path, 0), asked.limit(0), 10).count() == 0
+
+
+def test_recall_on_the_drivers_vectors(spark):
+    folder = "/root/testdata/sf0.01"
+    if not __import__("os").path.isdir(folder):
+        pytest.skip("no driver tables here")
+    exact, found = ({tuple(r)[:2] for r in QUERIES[n](spark, folder).select("query_id", "id").collect()} for n in ("knn_cosine", "knn_approx"))
+    assert len(exact & found) >= 0.9 * len(exact)
