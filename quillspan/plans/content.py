@@ -100,13 +100,13 @@ def heading_section(spark, d):
     return rows.select("conv_id", "turn", section("#One").alias("one"), section("# One/Sub").alias("sub"), section("#None").alias("none"))
 
 
-@query("thinking_steps", "SELECT conv_id, turn, array_to_string(CASE WHEN turn % 2 = 0 THEN [text, role] ELSE list_filter([trim(regexp_replace(a, '^" + WS + "|" + WS + "$', '', 'g')) || chr(10) || 'and some more of it', 'another step of the answer'], lambda s: strlen(s) > 20) END, '|') AS steps FROM (SELECT *, replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '.', ',') AS a FROM conversations WHERE strlen(text) > 25 AND regexp_matches(text, '^[a-z]'))")
+@query("thinking_steps", "SELECT conv_id, turn, array_to_string(CASE WHEN turn % 2 = 0 THEN [text, role] ELSE list_filter([trim(regexp_replace(a, '^" + WS + "|" + WS + "$', '', 'g')) || chr(10) || 'and some more of it', 'another step of the answer'], lambda s: strlen(s) > 20) END, '|') AS steps FROM (SELECT *, replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '.', ',') AS a FROM conversations WHERE strlen(text) > 25 AND regexp_matches(text, '^[A-RU-Za-z]'))")
 def thinking_steps(spark, d):
     """Even turns think in tags, odd ones in lines that boundaries part."""
     flat = F.replace(F.translate("text", "\n\r", "  "), F.lit("."), F.lit(","))
     bare = F.trim(F.regexp_replace(flat, f"^{tx.SPACE}|{tx.SPACE}$", ""))
     said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x <think>"), "text", F.lit("</think> y <think>"), "role", F.lit("</think>"))).otherwise(F.concat(bare, F.lit("\nand some more of it\n2. next\nanother step of the answer\n\nshort\n")))
-    rows = table(spark, d, "conversations").where((F.octet_length("text") > 25) & F.col("text").rlike("^[a-z]"))
+    rows = table(spark, d, "conversations").where((F.octet_length("text") > 25) & F.col("text").rlike("^[A-RU-Za-z]"))
     return rows.select("conv_id", "turn", F.array_join(protocol.thinking_steps(said), "|").alias("steps"))
 
 
