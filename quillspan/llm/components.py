@@ -8,44 +8,28 @@ from pyspark.sql import functions as F
 from .common import dropped, stored
 
 
-#: Into how many keys a node's pairs are dealt.
-PARTS = 32
-
-
 def _edges(df: DataFrame) -> DataFrame:
     return df.where("u != v").distinct()
 
 
-def _least(pairs: DataFrame, itself: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The pairs (u, v) with a part; the smallest neighbour m of every u (or u itself); that for every part of u.
-
-    A node's pairs are dealt into ``PARTS`` by v, and both the minimum and the join that follows go by node and
-    part, so a hub's pairs are many keys; a node of few pairs has as few rows.
-    """
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
-    by_part = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
-    least = by_part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
-    least = least.withColumn("m", F.least("m", "u")) if itself else least
-    return dealt, least.select("u", "m"), least.select("u", F.explode("parts").alias("part"), "m")
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    dealt, _, least = _least(both, itself=True)
-    return _edges(dealt.where("v > u").join(least, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return _edges(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    dealt, least, of_parts = _least(down, itself=False)
-    return _edges(dealt.join(of_parts, ["u", "part"]).select("v", "m").union(least.select("u", "m")).toDF("u", "v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    return _edges(down.join(least, "u").select("v", "m").union(least.select("u", "m")).toDF("u", "v"))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """id, component (smallest id reachable) of every node with an edge; ``edges`` has u and v, long.
 
-    Every round is written to the shared folder.  Hubs are dealt into parts.  Null ends, loops and
-    repeated edges count for nothing; a table without edges gives none.
+    Every round is written to the shared folder.  Hub nodes are aggregated partially before the
+    shuffle; their edges meet in one join key.  Null ends, loops and repeated edges count for nothing; a
+    table without edges gives none.
     """
     now, mark = stored(_edges(edges.select("u", "v")), "components"), None
     for _ in range(most_rounds):
