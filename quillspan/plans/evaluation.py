@@ -124,7 +124,7 @@ def tag_rates(spark, d):
 
 @query("model_ranking", "WITH m AS (SELECT s_name AS model, round(s_acctbal / 10000, 2) AS f1, (s_suppkey % 3)::BIGINT AS failures FROM supplier) SELECT model, f1, failures, (row_number() OVER (ORDER BY f1 DESC, failures, model))::INT AS rank FROM m")
 def model_ranking(spark, d):
-    m = table(spark, d, "supplier").select(F.col("s_name").alias("model"), F.round(F.col("s_acctbal") / 10000, 2).alias("f1"), (F.col("s_suppkey") % 3).alias("failures"))
+    m = table(spark, d, "supplier").select(F.col("s_name").alias("model"), ev.rounded(F.col("s_acctbal") / 10000, 2).alias("f1"), (F.col("s_suppkey") % 3).alias("failures"))
     return ev.model_ranking(m)
 
 

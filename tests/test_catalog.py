@@ -47,6 +47,15 @@ def test_query(spark, duck, name):
         assert got
 
 
+def test_model_ranking_equals_its_sql_bit_by_bit(spark, tmp_path):
+    rows = [("a", -10.0, 1), ("b", 10.0, 1), ("c", 2850.0, 2), ("d", 2900.0, 0), ("e", -2850.0, 1), ("f", -0.0, 1), ("g", 50.0, 4), (None, 50.0, 4), ("h", 50.0, None), ("i", None, 3), ("j", float("nan"), 3)]
+    spark.createDataFrame(rows, "s_name string, s_acctbal double, s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = QUERIES["model_ranking"](spark, str(tmp_path)).select("model", "f1", "failures", "rank").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, con.execute(SQL["model_ranking"]).fetchall()))  # repr tells -0.0 from 0.0
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
