@@ -262,6 +262,33 @@ def test_topic_overlaps_equal_all_pairs(spark):
     assert got == want
 
 
+def test_topic_overlaps_by_blocks_shuffle_no_pairs(spark):
+    rng = random.Random(5)
+    sets = {i: rng.sample([f"t{k}" for k in range(60)], rng.randint(1, 45 if i % 9 == 0 else 8)) for i in range(120)}
+    of = [(i, f"s{i % 3}") for i in sets] + [(7, "s0"), (8, "s9")] + [(200, None), (201, "s1")]
+    sets |= {200: sets[7], 201: sets[7]}
+    terms = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id long, term string")
+    sources = spark.createDataFrame(of, "id long, source string")
+    names = ("id_a", "id_b", "source_a", "source_b", "copies_a", "copies_b", "shared", "overlap")
+    rows = {}
+    for i, s in of:
+        rows.setdefault((s, tuple(sorted(sets[i]))), []).append(i)
+    classes = [(min(ids), s, len(ids), set(t)) for (s, t), ids in rows.items()]
+    met = {(a[0], b[0]) for a in classes for b in classes if a[0] < b[0] and a[1] and b[1] and a[1] != b[1]}
+    want = set()
+    for a in classes:
+        for b in classes:
+            shared = sorted(a[3] & b[3])
+            if (a[0], b[0]) in met and round(len(shared) / min(len(a[3]), len(b[3])), 6) > 0.3 and a[1] and b[1]:
+                want.add((a[0], b[0], a[1], b[1], a[2], b[2], tuple(shared), round(len(shared) / min(len(a[3]), len(b[3])), 6)))
+    for blocks in (1, 3, 9):
+        found = provenance.topic_overlaps(terms, sources, blocks=blocks)
+        got = [tuple(tuple(r[c]) if c == "shared" else r[c] for c in names) for r in found.collect()]
+        assert len(got) == len(set(got)) and {r for r in got if r[2] and r[3]} == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1  # the classes alone, no pairs
+
+
 def test_rendering(spark):
     f = spark.createDataFrame([(1, 1, "a", "x.md", "full", "one"), (1, 2, "__candidates__", "search-candidates", "file-list", "two")], "session long, pos int, stub_id string, source string, locator string, content string")
     text = render.workspace_text(f, F.array(F.lit("Be brief."), F.lit("")), xml=False).first()["text"]
