@@ -24,12 +24,11 @@ def recall_precision(retrieved: DataFrame, expected: DataFrame, k: int) -> DataF
 
     Nothing expected: recall 1; nothing retrieved: precision 1.  Retrieved rows count each.
     """
-    first = retrieved.where(F.col("rank") <= k)
-    hit = first.join(expected.select("query_id", "id").distinct().withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
-    got = hit.groupBy("query_id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
-    want = expected.groupBy("query_id").agg(F.count_distinct("id").alias("want"))
-    every = retrieved.select("query_id").union(expected.select("query_id")).distinct()
-    out = every.join(got, "query_id", "left").join(want, "query_id", "left").fillna(0, ["n", "hits", "want"])
+    wanted = expected.select("query_id", "id").distinct().withColumn("hit", F.lit(True))
+    met = retrieved.select("query_id", "id", "rank").join(wanted, ["query_id", "id"], "full")  # each is read once
+    first, hit = F.col("rank") <= k, F.col("hit")
+    known = lambda c: F.when(F.col("query_id").isNotNull(), c).otherwise(F.lit(0))
+    out = met.groupBy("query_id").agg(known(F.count(F.when(first, 1))).alias("n"), known(F.count(F.when(first & hit, 1))).alias("hits"), known(F.count_distinct(F.when(hit, F.col("id")))).alias("want"))
     return out.select("query_id", "hits", ratio(F.col("hits"), F.col("want"), 1.0).alias("recall"), ratio(F.col("hits"), F.col("n"), 1.0).alias("precision"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_K1
 from ..functions.text import index_tokens, run_terms
-from ..storage import dealt, exists, fingerprint, moved, new_path, shared_dir
+from ..storage import exists, fingerprint, moved, new_path, shared_dir, stored
 from .knn import ranked
 
 #: Changes when an index holds something else than before.
@@ -19,11 +19,13 @@ LAYOUT = 1
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """term, id, tf.
 
-    Runs are exploded before they are brought to terms, so all of it is generated code, and counted
-    before the one shuffle, by term and id: a term that every document has is spread over all tasks.
+    Texts are dealt by id first, in the one shuffle there is: their words, which take more room, are
+    exploded and counted where they lie, and a term that every document has is spread over all tasks.
+    Runs are exploded before they are brought to terms, so all of it is generated code.
     Null texts have no terms; rows that share an id count together.
     """
-    runs = docs.select(F.col(doc_id).alias("id"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}]+")).alias("run")).where("run != ''")
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias(text)).repartition("id")
+    runs = docs.select("id", F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}]+")).alias("run")).where("run != ''")
     terms = runs.select("id", F.explode(run_terms(F.col("run"))).alias("term")).where(F.octet_length("term") > 1)
     return terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
@@ -66,7 +68,7 @@ def index_of(spark: SparkSession, table: str, doc_id: str = "doc_id", text: str
     path = f"{shared_dir(spark)}/lexical/{LAYOUT}-{doc_id}-{text}-{fingerprint(spark, table)}"
     if not exists(spark, path):
         made = new_path(spark, "lexical-new")
-        build_index(dealt(spark, table), made, doc_id, text)
+        build_index(spark.read.parquet(table), made, doc_id, text)
         moved(spark, made, path)
     return open_index(spark, path)
 
@@ -74,13 +76,15 @@ def index_of(spark: SparkSession, table: str, doc_id: str = "doc_id", text: str
 def bm25_topk(index: Index, queries: DataFrame, k: int | None, *, k1: float = BM25_K1, b: float = BM25_B, digits: int = 6) -> DataFrame:
     """query_id, id, score, rank of ``queries`` (query_id, text); a term that a query repeats counts again.
 
-    The queries' terms meet the dictionary first; only what is left of them meets the postings, as a
-    side that the planner broadcasts if its size allows it.
+    The queries' terms meet the dictionary first; what is left of them is written, so that the planner
+    knows its size and broadcasts it if that allows it.  Only postings of these terms are shuffled, by id,
+    before they meet the queries: a document's scores are summed where its postings lie.
     """
     asked = queries.select("query_id", F.explode(index_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     idf = F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(index.terms.select("term", "df"), "term").select("query_id", "term", (F.col("times") * idf).alias("w"))
-    met = index.postings.join(weights, "term").join(index.lengths, "id")
+    weights = stored(asked.join(index.terms.select("term", "df"), "term").select("query_id", "term", (F.col("times") * idf).alias("w")).coalesce(1), "weights")
+    asked_for = index.postings.join(weights.select("term").distinct(), "term", "left_semi").repartition("id")
+    met = asked_for.join(index.lengths, "id").join(weights, "term")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avg_dl)))
     return ranked(met.groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score")), k)
 
@@ -142,7 +146,8 @@ def holding(docs: DataFrame, needles: DataFrame) -> DataFrame:
     What stands between a needle's first and last word is whole words of the text too.  Its three inner
     words in a row with the smallest hash are the key of an equi-join with the texts' words; a needle
     with fewer inner words is found by its first three characters.  ``contains`` decides on the pairs.
-    Null and empty needles are in no text.
+    Null and empty needles are in no text.  The pairs and their needles are written before they meet the
+    texts, so that the planner knows their size: few of them come to the texts, which are not shuffled then.
     """
     asked = needles.where(F.length("needle") > 0).select("query_id", "needle", F.split("needle", " ").alias("w"))
     key = lambda a, b, c: F.xxhash64(a, b, c)
@@ -156,5 +161,5 @@ def holding(docs: DataFrame, needles: DataFrame) -> DataFrame:
     if not short.isEmpty():
         first = short.select("query_id", F.substring("needle", 1, 3).alias("gram"))
         pairs = pairs.union(docs.select("id", F.explode(grams(F.col("text"))).alias("gram")).join(first, "gram").select("query_id", "id"))
-    told = pairs.distinct().join(docs, "id").join(needles, "query_id")
+    told = docs.join(stored(pairs.distinct().join(needles.select("query_id", "needle"), "query_id"), "holding"), "id")
     return told.where(F.contains("text", "needle")).select("query_id", "id")

@@ -98,6 +98,28 @@ def test_holding_equals_contains(spark):
     assert lexical.holding(docs.limit(0), asked).count() == 0 and lexical.holding(docs, asked.limit(0)).count() == 0
 
 
+def test_shuffles_of_the_search(spark):
+    """No word of a text, no posting of another term and no text that holds nothing is shuffled."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(i, f"some words of the text number {i} that nobody asks for") for i in range(3000)] + [(3000, None), (3001, "x y")], "doc_id long, text string")
+    made = plan(lexical.postings(docs))
+    assert made.count("Exchange") == 1 and made.index("Generate") < made.index("Exchange")  # what lies above is printed first
+    with_key = docs.withColumnRenamed("doc_id", "id")
+    asked = spark.createDataFrame([(1, "text number 17 that nobody asks"), (2, "text number 1 that"), (3, "words of the texts number 1 that")], "query_id long, needle string")
+    told = lexical.holding(with_key, asked)
+    assert {tuple(r) for r in told.collect()} == {(1, 17), (2, 1)}
+    assert "SortMergeJoin" not in plan(lexical.holding(with_key, asked)) and "hashpartitioning" not in plan(lexical.holding(with_key, asked))
+
+
+def test_recall_reads_each_side_once(spark):
+    retrieved = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 10, 1), (4, 10, 7), (None, 10, 1)], "query_id long, id long, rank int")
+    expected = spark.createDataFrame([(1, 10), (1, 10), (1, 12), (1, 13), (3, 10), (None, 10)], "query_id long, id long")
+    found = evaluation.recall_precision(retrieved, expected, 2)
+    got = {r["query_id"]: (r["hits"], round(r["recall"], 6), r["precision"]) for r in found.collect()}
+    assert got == {1: (1, round(1 / 3, 6), 0.5), 2: (0, 1.0, 0.0), 3: (0, 0.0, 1.0), 4: (0, 1.0, 1.0), None: (0, 1.0, 1.0)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + found._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 2
+
+
 def test_no_plan_has_a_nested_loop(spark):
     """Nested loops only with sides of one row (two counts) or of parameter values."""
     folder = "/root/testdata/sf0.001"
