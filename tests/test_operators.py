@@ -289,6 +289,17 @@ def test_topic_overlaps_by_blocks_shuffle_no_pairs(spark):
     assert plan.count("Exchange") == 1  # the classes alone, no pairs
 
 
+def test_topic_overlaps_tell_equal_texts_side_by_side(spark):
+    rng = random.Random(6)
+    sets = {i: rng.sample([f"t{k}" for k in range(45)], 40) for i in range(20)}  # more than 32 terms: two words of bits
+    sets |= {i: rng.sample([f"t{k}" for k in range(12)], 8) for i in range(20, 420)}
+    terms = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id long, term string")
+    sources = spark.createDataFrame([(i, f"s{i % 4}") for i in sets], "id long, source string")
+    found = provenance.topic_overlaps(terms, sources, joint=",", blocks=1)
+    rows = [(r["id_a"], r["shared"]) for r in found.collect()]
+    assert rows and 1 + sum(x != y for x, y in zip(rows, rows[1:])) == len(set(rows))
+
+
 def test_rendering(spark):
     f = spark.createDataFrame([(1, 1, "a", "x.md", "full", "one"), (1, 2, "__candidates__", "search-candidates", "file-list", "two")], "session long, pos int, stub_id string, source string, locator string, content string")
     text = render.workspace_text(f, F.array(F.lit("Be brief."), F.lit("")), xml=False).first()["text"]
